@@ -8,8 +8,8 @@
    (1 - 0.8^4)^32 = 5e-8. In a bucket, members are compared with leaders, not with each other.
 4. The Jaccard estimate, corrected for chance collisions of registers, discards pairs more than five standard
    deviations below the threshold; the rest is confirmed on the full sets.
-5. Buckets in which several components remain are compared in blocks, exhaustively, between components only. So no link
-   between different sets that share a bucket is lost, though copies are never expanded into all pairs.
+5. Buckets in which several components remain are compared in blocks, exhaustively, between components only, and inside
+   tasks. So no link between components is lost, though copies are never expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from siftwork.llm.common import WordHashes, connected_components, discard, shing
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // ROWS
 LEADERS = 4
-BLOCK = 256
+BLOCK, BLOCK_HASHES = 256, 200_000
 SIGMAS = 5.0
 #: Below this set size, few registers are filled by hashes of their own: such pairs go straight to the full sets.
 ESTIMATE_FROM = 64
@@ -122,6 +122,12 @@ def _registers(column: pa.Array) -> np.ndarray:
     return np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)).view("<u2")
 
 
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    both = np.sort(np.concatenate((x, y)), kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
 def promising(pairs: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose sizes and estimate allow the threshold."""
     least = least_estimate(threshold)
@@ -148,43 +154,62 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             good = []
             for x, y in zip(batch.column("m_a"), batch.column("m_b")):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.sort(np.concatenate((x, y)), kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
+                same = _shared(x, y)
                 good.append(100 * same >= percent * (len(x) + len(y) - same))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def across_components(members: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components whose estimate allows the threshold.
+def across_components(members: DataFrame, sketched: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket in different components whose sets, as 32-bit hashes, reach percent.
 
-    members: bucket, doc_id, component. A bucket is dealt into blocks of about 256 members, and each pair of blocks is
-    one group, so that no group grows with its bucket.
+    members: bucket, band, doc_id, component. A bucket is dealt into blocks of about 256 members and 200,000 hashes, and
+    each pair of blocks is one group, so that no group grows with its bucket. A pair is compared in the first band that
+    it shares. Sets are compared within the task: pairs that fail are no rows. Shortened hashes can only add pairs.
     """
-    least = least_estimate(threshold)
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    open_ = sizes.where("low <> high and n > 2").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    rows = members.join(open_, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", "doc_id", "component", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    rows = rows.join(sketched.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    least = least_estimate(percent / 100)
+    sized = members.join(sketched.select("doc_id", "n_shingles"), "doc_id")
+    sizes = sized.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("hashes"), F.min("component").alias("low"), F.max("component").alias("high"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("hashes") / BLOCK_HASHES)).cast("int")
+    open_ = sizes.where("low <> high and n > 2").select("bucket", blocks.alias("blocks"))
+    rows, rows_at = stored(members.join(open_, "bucket"), "open")
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = [np.unique((np.frombuffer(v.as_buffer(), np.uint64) >> np.uint64(32)).astype("<u4")).tobytes() for v in batch.column("members")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(short, pa.binary())], ["doc_id", "short"])
+
+    asked = rows.select("doc_id").distinct()
+    short = sets.join(asked, "doc_id", "left_semi").mapInArrow(shorten, "doc_id long, short binary")
+    known = sketched.select("doc_id", "n_shingles", "sketch").join(short, "doc_id")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", "band", "doc_id", "component", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).join(known, "doc_id")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        regs = np.array(pdf["sketch"].tolist(), "<i8").view("<u2")
+        longs = np.array(pdf["sketch"].tolist(), "<i8")
+        regs = longs.view("<u2")
         ids, comp, n, own = (pdf[c].to_numpy() for c in ("doc_id", "component", "n_shingles", "own"))
+        values = [np.frombuffer(v, "<u4") for v in pdf["short"]]
+        band = pdf["band"].iat[0]
         alone = pdf["x"].iat[0] == pdf["y"].iat[0]
         right = np.arange(len(pdf)) if alone else np.flatnonzero(own == pdf["y"].iat[0])
         out = []
         for i in range(len(pdf)) if alone else np.flatnonzero(own == pdf["x"].iat[0]):
             other = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) if alone else True)]
-            if len(other):
-                small, large = np.minimum(n[other], n[i]), np.maximum(n[other], n[i])
-                good = (small >= (threshold - 1e-9) * large) & ((estimate(regs[other], regs[i], n[other], n[i]) >= least) | (small < ESTIMATE_FROM))
-                out.append(np.stack((np.minimum(ids[other[good]], ids[i]), np.maximum(ids[other[good]], ids[i])), 1))
-        return pd.DataFrame(np.concatenate(out) if out else np.empty((0, 2), np.int64), columns=["a", "b"])
+            other = other[(longs[other] == longs[i]).argmax(1) == band]
+            small, large = np.minimum(n[other], n[i]), np.maximum(n[other], n[i])
+            good = (100 * small >= percent * large) & ((estimate(regs[other], regs[i], n[other], n[i]) >= least) | (small < ESTIMATE_FROM))
+            for j in other[good]:
+                same = _shared(values[i], values[j])
+                # Two hashes of one set may have become one.
+                if 100 * (same + 2) >= percent * (len(values[i]) + len(values[j]) - same - 2):
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
 
-    return rows.groupBy("bucket", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+    found, _ = stored(dealt.groupBy("bucket", "x", "y").applyInPandas(compare, "a long, b long"), "across")
+    discard(members.sparkSession, rows_at)
+    return found
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -200,10 +225,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     usable = rows.where("n_shingles > 0 and doc_id is not null")
     sketched, _ = stored(usable.groupBy("fp_high", "fp_low").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
 
-    banded = sketched.select("doc_id", F.posexplode("sketch").alias("band", "key")).select("doc_id", F.col("band") % LEADERS, F.xxhash64("key", "band").alias("bucket")).toDF("doc_id", "family", "bucket")
-    rank = F.struct(F.xxhash64("doc_id", "family").alias("by"), F.col("doc_id"))
+    banded = sketched.select("doc_id", F.posexplode("sketch").alias("band", "key")).select("doc_id", "band", F.xxhash64("key", "band").alias("bucket"))
+    rank = F.struct(F.xxhash64("doc_id", F.col("band") % LEADERS).alias("by"), F.col("doc_id"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min(rank).alias("lead")).where("n > 1").select("bucket", F.col("lead.doc_id").alias("lead"))
-    members, members_at = stored(banded.join(shared, "bucket").select("bucket", "doc_id", "lead"), "members")
+    members, members_at = stored(banded.join(shared, "bucket").select("bucket", "band", "doc_id", "lead"), "members")
 
     tested, tested_at = stored(members.where("doc_id <> lead").select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct(), "pairs")
     likely, likely_at = stored(promising(tested, sketched, threshold), "likely")
@@ -213,8 +238,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links, links_at = stored(confirmed(likely, sets, percent), "links")
 
     classes = connected_components(links)
-    labelled = members.join(classes, members.doc_id == classes.id, "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    rest = across_components(labelled, sketched, threshold).join(tested, ["a", "b"], "left_anti")
+    labelled = members.join(classes, members.doc_id == classes.id, "left").select("bucket", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    rest = across_components(labelled, sketched, sets, percent)
     more, _ = stored(confirmed(rest, sets, percent), "links")
     if not more.isEmpty():
         links, _ = stored(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), "links")
