@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import WORD, stored
+from siftwork.llm.common import WORD, discard, stored
 
 WEIGHTS = (3, 1, 2)
-SHARE, EPOCHS, SEED = 1.5, 2.0, "mix-1"
+SHARE, EPOCHS, STEPS, SEED = 1.5, 2.0, 3, "mix-1"
 
 
 def size_of(text: str = "text") -> Column:
@@ -44,32 +44,62 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return rows.select("source", "source_size", F.coalesce(F.least("cap", F.col("weight") * level), F.col("cap")).alias("target"))
 
 
-def plan(sized: DataFrame, **settings) -> DataFrame:
-    """A row per source of sized (doc_id, source, size, place): source_size, target, whole, last.
+def _prefixes(rows: DataFrame, goals: DataFrame) -> DataFrame:
+    """(source, last): of rows (source, place, doc_id, size) in seeded order, up to where the running size passes goals.left.
 
-    Every document is taken whole times; those whose (place, doc_id, size) is not above last once more. last is where
-    the running size, in seeded order, comes nearest to what whole repetitions leave of the target.
+    Only the bucket of a source in which the running size passes is put in order; the others are summed.
     """
-    per_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), **settings)
-    per_source = per_source.withColumn("whole", F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("int"))
-    per_source = per_source.withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
-    bucket = F.substring("place", 1, 3).alias("bucket")
-    rows = sized.select("source", "doc_id", "size", "place", bucket)
+    rows = rows.withColumn("bucket", F.substring("place", 1, 3))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     ahead = F.coalesce(F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sums.withColumn("ahead", ahead)
-    # Only buckets that the target ends in have their documents put in order.
-    ends = offsets.join(per_source.select(F.col("source").alias("s"), "part"), F.col("source").eqNullSafe(F.col("s"))).where("ahead <= part and part <= ahead + bucket_size")
-    ends = ends.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "ahead", "part")
+    offsets = sums.withColumn("ahead", ahead).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "bucket_size", "ahead")
+    goals = goals.select("source", "left")
+    ends = offsets.join(goals, F.col("source").eqNullSafe(F.col("s"))).where("ahead <= left and left <= ahead + bucket_size").select("s", "b", "ahead", "left")
     inside = rows.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    running = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("place", F.col("doc_id"), "size").rowsBetween(Window.unboundedPreceding, 0))
-    inside = inside.withColumn("running", running).where(F.col("ahead") + F.col("running") - F.col("size") / 2 <= F.col("part"))
-    lasts = inside.groupBy("source").agg(F.max(F.struct("place", "doc_id", "size")).alias("last")).select(F.col("source").alias("s"), "last")
-    # Where the first document of a bucket is already too much, the bucket before it is taken whole.
-    full = ends.groupBy("s").agg(F.max("b").alias("upto")).withColumnRenamed("s", "s2")
-    out = per_source.join(lasts, F.col("source").eqNullSafe(F.col("s")), "left").join(full, F.col("source").eqNullSafe(F.col("s2")), "left")
-    none = F.struct(F.col("upto").alias("place"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("size"))
-    return out.select("source", "source_size", "target", "whole", F.coalesce("last", none).alias("last"))
+    running = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    inside = inside.withColumn("running", running).where("ahead + running <= left")
+    lasts = inside.groupBy("source").agg(F.max(F.struct("place", "doc_id", "size")).alias("last")).select("source", "last")
+    # Where the first row of a bucket is already too much, all before the bucket stay; beyond the last one, all rows.
+    upto = ends.groupBy("s").agg(F.max("b").alias("upto"))
+    both = goals.join(lasts.withColumnRenamed("source", "s1"), F.col("source").eqNullSafe(F.col("s1")), "left").join(upto, F.col("source").eqNullSafe(F.col("s")), "left")
+    null = F.lit(None).cast("long")
+    other = F.struct(F.coalesce("upto", F.lit("g")).alias("place"), null.alias("doc_id"), null.alias("size"))
+    return both.select("source", F.coalesce("last", other).alias("last"))
+
+
+def _own() -> Column:
+    return F.struct("place", F.col("doc_id").cast("long").alias("doc_id"), "size")
+
+
+def _taken(steps: Column) -> Column:
+    """Whether one of steps, in turn, takes the row: one that is small enough for what is left, and not above its last."""
+    return F.exists(steps, lambda s: (F.col("size") <= s["left"]) & (_own() <= s["last"]))
+
+
+def plan(sized: DataFrame, steps: int = STEPS, **settings) -> DataFrame:
+    """A row per source of sized (doc_id, source, size, place): source_size, target, whole, steps.
+
+    Every document is taken whole times. Of what whole repetitions leave of the target, documents fill as much as fits
+    in seeded order; smaller ones behind them fill what is left then, and again, so that the sum comes near.
+    """
+    spark = sized.sparkSession
+    state = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), **settings)
+    whole = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("int")
+    state = state.withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
+    state = state.withColumn("steps", F.array().cast("array<struct<left:double,last:struct<place:string,doc_id:bigint,size:bigint>>>"))
+    state, path = stored(state, "plan")
+    rows = sized.select("doc_id", F.col("source"), "size", "place")
+    for _ in range(steps):
+        known = state.select(F.col("source").alias("s0"), F.col("left").alias("room"), F.col("steps").alias("taken"))
+        open_ = rows.join(known, F.col("source").eqNullSafe(F.col("s0"))).where((F.col("size") <= F.col("room")) & ~_taken(F.col("taken"))).select("source", "doc_id", "size", "place")
+        lasts = _prefixes(open_, state).select(F.col("source").alias("s1"), "last")
+        marked = open_.join(lasts, F.col("source").eqNullSafe(F.col("s1"))).where(_own() <= F.col("last"))
+        got = marked.groupBy("source").agg(F.sum("size").alias("got")).select(F.col("source").alias("s2"), "got")
+        joined = state.join(lasts, F.col("source").eqNullSafe(F.col("s1")), "left").join(got, F.col("source").eqNullSafe(F.col("s2")), "left")
+        state, new = stored(joined.select("source", "source_size", "target", "whole", (F.col("left") - F.coalesce("got", F.lit(0))).alias("left"), F.concat("steps", F.array(F.struct("left", "last"))).alias("steps")), "plan")
+        discard(spark, path)
+        path = new
+    return state
 
 
 def repetitions(docs: DataFrame, **settings) -> DataFrame:
@@ -80,11 +110,12 @@ def repetitions(docs: DataFrame, **settings) -> DataFrame:
     """
     rows = docs.withColumns({"_size": size_of(), "_place": place_of()})
     sized, _ = stored(rows.select("doc_id", "source", F.col("_size").alias("size"), F.col("_place").alias("place")), "sizes")
-    per_source, _ = stored(plan(sized, **settings), "plan")
-    per_source = per_source.withColumnRenamed("source", "_source")
-    joined = rows.join(per_source.select("_source", F.struct("source_size", "target", "whole", "last").alias("_plan")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    per_source = plan(sized, **settings)
+    # A row per source, small against the documents: Spark chooses the join by its size.
+    known = per_source.select(F.col("source").alias("_source"), F.struct("source_size", "target", "whole", "steps").alias("_plan"))
+    joined = rows.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     own = F.struct(F.col("_place").alias("place"), F.col("doc_id").cast("long").alias("doc_id"), F.col("_size").alias("size"))
-    extra = F.coalesce(own <= F.col("_plan.last"), F.lit(False)).cast("int")
+    extra = F.exists("_plan.steps", lambda s: (F.col("_size") <= s["left"]) & (own <= s["last"])).cast("int")
     return joined.withColumns({"_copies": F.col("_plan.whole") + extra})
 
 
@@ -122,10 +153,23 @@ parts AS (
   SELECT *, CAST(CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size) END AS BIGINT) AS whole,
          target - CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size) END * source_size AS part
   FROM targets),
-running AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-  FROM sized)
-SELECT r.doc_id, CAST(r.size AS BIGINT) AS size, p.source_size, p.target,
-       CAST(r.size * (p.whole + CASE WHEN r.upto - r.size / 2.0::DOUBLE <= p.part THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM running r JOIN parts p ON r.source IS NOT DISTINCT FROM p.source
+first AS (
+  SELECT r.*, p.source_size, p.target, p.whole, p.part,
+         sum(size) OVER (PARTITION BY r.source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= part AS took1
+  FROM sized r JOIN parts p ON r.source IS NOT DISTINCT FROM p.source),
+left1 AS (SELECT *, part - coalesce(sum(CASE WHEN took1 THEN size END) OVER (PARTITION BY source), 0) AS rest1 FROM first),
+second AS (
+  SELECT *, NOT took1 AND size <= rest1 AND
+         sum(CASE WHEN NOT took1 AND size <= rest1 THEN size ELSE 0 END)
+           OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= rest1 AS took2
+  FROM left1),
+left2 AS (SELECT *, rest1 - coalesce(sum(CASE WHEN took2 THEN size END) OVER (PARTITION BY source), 0) AS rest2 FROM second),
+third AS (
+  SELECT *, NOT took1 AND NOT took2 AND size <= rest2 AND
+         sum(CASE WHEN NOT took1 AND NOT took2 AND size <= rest2 THEN size ELSE 0 END)
+           OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= rest2 AS took3
+  FROM left2)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(size * (whole + CASE WHEN took1 OR took2 OR took3 THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM third
 """
