@@ -1,0 +1 @@
+"""Column functions: text, identity hashes, URLs, dates, JSON, vectors."""

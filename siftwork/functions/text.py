@@ -1,0 +1,207 @@
+"""Text normalisation, tokens and sentences as column expressions.
+
+Only canonical composition (NFC) and stemming need Python; the first runs over rows with characters beyond ASCII, the
+second over distinct tokens.
+"""
+
+from __future__ import annotations
+
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+# Characters and words with a meaning in matching.
+ZERO_WIDTH = "​‌‍‎‏﻿­"
+ZERO_WIDTH_NARROW = "​⁠﻿"
+PUNCTUATION_FROM = "।॥“”‘’—–"
+PUNCTUATION_TO = "..\"\"''--"
+BENGALI_DIGITS = "০১২৩৪৫৬৭৮৯"
+ASCII_DIGITS = "0123456789"
+NEGATIONS = ("না", "নি", "নেই", "নয়", "নন", "নাই", "not", "no", "never", "নাকচ")
+QUALIFIERS = {
+    "UNIVERSAL": ("সব", "সকল", "সবাই", "সবার", "সবাইকে", "সমস্ত", "প্রতিটি", "সর্বত্র", "প্রত্যেক"),
+    "PARTIAL": ("কিছু", "কয়েক", "কয়েকটি", "কিছুসংখ্যক", "আংশিক", "অনেকে", "একাংশ", "কিছুটা"),
+    "EXCLUSIVE": ("শুধু", "শুধুমাত্র", "কেবল", "একমাত্র", "মাত্র"),
+    "LOWER_BOUND": ("অন্তত", "কমপক্ষে", "ন্যূনতম", "সর্বনিম্ন"),
+    "UPPER_BOUND": ("সর্বোচ্চ", "বড়জোর", "সর্বাধিক", "অনূর্ধ্ব"),
+    "APPROX": ("প্রায়", "আনুমানিক"),
+}
+STOPWORDS = (
+    "এই", "এ", "ও", "এবং", "কিন্তু", "তবে", "যে", "যা", "তা", "তার", "আর", "হয়", "হয়েছে", "হয়েছিল", "হবে", "করা", "করে",
+    "করেছে", "করেছিল", "করবে", "থেকে", "জন্য", "দিয়ে", "সঙ্গে", "সাথে", "মধ্যে", "উপর", "নিচে", "পরে", "আগে", "বলে", "বলা",
+    "আছে", "ছিল", "আছেন", "ছিলেন", "একটি", "একটা", "এটি", "এটা", "সেটি", "সেটা", "তাদের", "তাকে", "তিনি", "তারা", "আমরা",
+    "আমি", "তাই", "সেই", "যেন", "যদি", "কারণ", "অথবা", "বা", "এবার", "তখন", "এখন", "যখন", "প্রতি", "হলো", "হল", "দিন", "বছর",
+    "the", "a", "an", "is", "are", "was", "were", "of", "in", "on", "at", "to", "for", "with", "by", "from", "and", "or",
+)
+ENGLISH_QUERY_STOPWORDS = ("a", "an", "the", "of", "in", "on", "at", "to", "for", "and", "or", "is", "are", "was", "by", "with")
+STEM_ENDINGS = {
+    "গুলোর": "", "গুলির": "", "গুলো": "", "গুলি": "", "দের": "", "েরা": "", "ের": "", "কে": "", "তে": "", "টির": "", "টি": "",
+    "টা": "", "রা": "", "ার": "া", "ায়": "া", "ে": "",
+}
+STEM_VOWELS_BEFORE_R = "িীুূোৌ"
+SHORTEST_STEM = 3
+TOKEN = r"[ঀ-৿0-9A-Za-z]+(?:[.,][0-9]+)*"
+SENTENCE_END = r"(?<=[।.!?‼])\s+|\n+"
+FUSED_NEGATION = "^.+(?:ে|া|ন|য়|য়)নি$"
+
+
+def nfc_words(words: tuple[str, ...]) -> list[str]:
+    return [unicodedata.normalize("NFC", w) for w in words]
+
+
+@F.pandas_udf(StringType())
+def _nfc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+def nfc(text: Column) -> Column:
+    """Canonical composition; ASCII rows are left as they are."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), _nfc(text)).otherwise(text)
+
+
+def collapse(text: Column) -> Column:
+    """Runs of Unicode white space as one space, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", "")
+
+
+def normalize_unicode(text: Column) -> Column:
+    return F.translate(nfc(text), ZERO_WIDTH, "")
+
+
+def normalize_punctuation(text: Column) -> Column:
+    return F.replace(F.translate(text, PUNCTUATION_FROM, PUNCTUATION_TO), F.lit("…"), F.lit("..."))
+
+
+def normalize_digits(text: Column) -> Column:
+    return F.translate(text, BENGALI_DIGITS, ASCII_DIGITS)
+
+
+def normalize(text: Column, digits: bool = False) -> Column:
+    out = normalize_punctuation(normalize_unicode(text))
+    return collapse(normalize_digits(out) if digits else out)
+
+
+def match_form(text: Column) -> Column:
+    """The form in which texts are compared: normalised, ASCII digits, lower case; null as empty."""
+    return F.coalesce(collapse(F.lower(nfc(F.translate(normalize(text, digits=True), "▁", " ")))), F.lit(""))
+
+
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(match_form(text), F.lit(TOKEN), F.lit(0))
+
+
+def is_negation(token: Column) -> Column:
+    return token.isin(nfc_words(NEGATIONS)) | ((F.length(token) >= 4) & token.rlike(FUSED_NEGATION))
+
+
+def is_qualifier(token: Column) -> Column:
+    return token.isin(nfc_words(sum(QUALIFIERS.values(), ())))
+
+
+def is_number(token: Column) -> Column:
+    return token.rlike(r"^[0-9][0-9.,]*$")
+
+
+def content_tokens(text: Column) -> Column:
+    """Tokens that carry meaning: negations, qualifiers, numbers, and others of two letters or more but stop words."""
+    plain = lambda t: ~t.isin(nfc_words(STOPWORDS)) & (F.length(t) >= 2)
+    return F.filter(tokens(text), lambda t: is_negation(t) | is_qualifier(t) | is_number(t) | plain(t))
+
+
+def sentences(text: Column, shortest: int = 8) -> Column:
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_END), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
+    return F.filter(parts, lambda s: (F.length(s) >= shortest) & (s != ""))
+
+
+def exact_key(text: Column) -> Column:
+    """The identity of a headline: NFC, without zero-width spaces and one closing mark, white space collapsed."""
+    bare = collapse(F.translate(nfc(F.coalesce(text, F.lit(""))), ZERO_WIDTH_NARROW, ""))
+    return collapse(F.regexp_replace(bare, "[।.!?]$", ""))
+
+
+def preview(text: Column, words: int = 5) -> Column:
+    parts = F.filter(F.split(nfc(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda w: w != "")
+    return F.concat(F.array_join(F.slice(parts, 1, words), " "), F.when(F.size(parts) > words, "...").otherwise(""))
+
+
+def shortened(text: Column, most: int) -> Column:
+    """The text, or its first characters and an ellipsis if it is longer."""
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("…"))).otherwise(text)
+
+
+def cut_at_sentence(text: Column, most: int, least: float = 0.6) -> Column:
+    """At most so many characters, back to the last sentence end or line if that keeps enough."""
+    head = F.left(text, F.lit(most))
+    last = F.length(head) - F.coalesce(F.nullif(F.regexp_instr(F.reverse(head), F.lit("[।.\n]")), F.lit(0)), F.length(head) + 1) + 1
+    return F.when(F.length(text) <= most, text).when(last > most * least, F.left(head, last)).otherwise(head)
+
+
+def clean_title(text: Column) -> Column:
+    """A title without tags and a closing outlet name after a dash or bar."""
+    bare = collapse(F.regexp_replace(text, "<[^>]*>", " "))
+    return F.regexp_replace(bare, r"\s+[-|–—]\s+[^-|–—]{2,40}$", "")
+
+
+def same_words(a: Column, b: Column) -> Column:
+    return (F.size(tokens(a)) > 0) & (tokens(a) == tokens(b))
+
+
+def bigrams(words: Column) -> Column:
+    """Neighbouring tokens joined, for compounds that are written apart."""
+    n = F.size(words)
+    return F.when(n > 1, F.zip_with(F.slice(words, 1, n - 1), F.slice(words, 2, n - 1), lambda a, b: F.concat(a, b))).otherwise(F.array().cast("array<string>"))
+
+
+def qualifier_groups(words: Column) -> Column:
+    """The names of the quantifier groups that tokens belong to, sorted."""
+    groups = [F.when(F.arrays_overlap(words, F.array(*map(F.lit, nfc_words(members)))), F.lit(name)) for name, members in sorted(QUALIFIERS.items())]
+    return F.array_compact(F.array(*groups))
+
+
+def negated(words: Column) -> Column:
+    """Whether an odd number of tokens negate; না after কি asks and doesn't."""
+    before = F.concat(F.array(F.lit("")), F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))))
+    hits = F.filter(F.arrays_zip(words.alias("t"), before.alias("p")), lambda z: is_negation(z["t"]) & ~((z["t"] == "না") & (z["p"] == "কি")))
+    return F.size(hits) % 2 == 1
+
+
+def stem(token: str) -> str:
+    """A Bengali token without case and number endings, each cut again until none fits."""
+    while len(token) > SHORTEST_STEM:
+        if token[-1] == "র" and token[-2] in STEM_VOWELS_BEFORE_R:
+            shorter = token[:-1]
+        else:
+            fits = ((token.removesuffix(end) + new) for end, new in STEM_ENDINGS.items() if token.endswith(end))
+            shorter = next((s for s in fits if SHORTEST_STEM <= len(s) and s != token), None)
+        if shorter is None:
+            break
+        token = shorter
+    return token
+
+
+@F.pandas_udf(StringType())
+def _stem(token: pd.Series) -> pd.Series:
+    return token.map({t: stem(t) for t in token.dropna().unique()})
+
+
+def stems(words: DataFrame, column: str = "token") -> DataFrame:
+    """words with stem: Python sees each distinct token with Bengali letters once."""
+    distinct = words.where(F.col(column).rlike(r"[ঀ-৿]")).select(column).distinct().withColumn("_stem", _stem(column))
+    return words.join(distinct, column, "left").withColumn("stem", F.coalesce("_stem", column)).drop("_stem")
+
+
+def split_query(text: str | None, most: int = 8) -> list[str]:
+    """The keywords of a query on the driver: distinct, without stop words and single letters."""
+    import re
+
+    phrase = re.sub(r"\s+", " ", unicodedata.normalize("NFC", text or "")).strip()
+    found: dict[str, str] = {}
+    for word in re.split(r"[\s.,।॥!?\"'`()\[\]{}<>:;|/\\\-–—_+=*&^%$#@~]+", phrase):
+        key = word.casefold()
+        single = len(key) == 1 and key.isascii() and not key.isdigit()
+        if key and not single and key not in ENGLISH_QUERY_STOPWORDS and key not in nfc_words(STOPWORDS):
+            found.setdefault(key, word)
+    return list(found.values())[:most] or ([phrase] if phrase else [])

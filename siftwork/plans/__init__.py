@@ -1,0 +1 @@
+"""Queries over the test tables, each with DuckDB SQL that gives the same rows where SQL can."""

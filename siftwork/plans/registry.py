@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from siftwork.plans import relational
 
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+MODULES = (relational,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.SQL.items()}
+#: Weighted consensus: joins, a distinct count, sums per verdict, and the decision.
+FLAGSHIP = relational.ag_consensus_summary
