@@ -84,13 +84,17 @@ def normalize(text: Column, digits: bool = False) -> Column:
     return collapse(normalize_digits(out) if digits else out)
 
 
-def match_form(text: Column) -> Column:
-    """The form in which texts are compared: normalised, ASCII digits, lower case; null as empty."""
-    return F.coalesce(collapse(F.lower(nfc(F.translate(normalize(text, digits=True), "▁", " ")))), F.lit(""))
+def match_form(text: Column, compose: bool = True) -> Column:
+    """The form in which texts are compared: normalised, ASCII digits, lower case; null as empty.
 
+    compose=False is for texts that are in NFC already: inside array functions no Python function can run.
+    """
+    plain = normalize_digits(normalize_punctuation(normalize_unicode(text) if compose else F.translate(text, ZERO_WIDTH, "")))
+    return F.coalesce(collapse(F.lower(F.translate(plain, "▁", " "))), F.lit(""))
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(match_form(text), F.lit(TOKEN), F.lit(0))
+
+def tokens(text: Column, compose: bool = True) -> Column:
+    return F.regexp_extract_all(match_form(text, compose), F.lit(TOKEN), F.lit(0))
 
 
 def is_negation(token: Column) -> Column:
@@ -105,10 +109,10 @@ def is_number(token: Column) -> Column:
     return token.rlike(r"^[0-9][0-9.,]*$")
 
 
-def content_tokens(text: Column) -> Column:
+def content_tokens(text: Column, compose: bool = True) -> Column:
     """Tokens that carry meaning: negations, qualifiers, numbers, and others of two letters or more but stop words."""
     plain = lambda t: ~t.isin(nfc_words(STOPWORDS)) & (F.length(t) >= 2)
-    return F.filter(tokens(text), lambda t: is_negation(t) | is_qualifier(t) | is_number(t) | plain(t))
+    return F.filter(tokens(text, compose), lambda t: is_negation(t) | is_qualifier(t) | is_number(t) | plain(t))
 
 
 def sentences(text: Column, shortest: int = 8) -> Column:

@@ -1,0 +1 @@
+"""Structured Streaming forms of the polled workers, and event-time windows."""
