@@ -203,24 +203,23 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def _run(docs: DataFrame, columns: list[str], schema: str, finish, path: str, pattern: str) -> DataFrame:
+def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """docs (doc_id, text, ...) with ids array<int>: the tokens of the whole text, null texts as empty.
+
+    A column ids of docs is replaced.
+    """
+    docs = docs.drop("ids")
+    names = docs.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *finish(own, texts)], [*columns, *(x.split()[0] for x in schema.split(", "))])
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                ids = pa.array(own.encode([t or "" for t in some.column("text").to_pylist()]), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*some.columns, ids], [*names, "ids"])
 
-    kept = docs.select(*columns, F.coalesce("text", F.lit("")).alias("_text"))
-    return kept.mapInArrow(run, ", ".join([f"`{c}` {t}" for c, t in docs.select(*columns).dtypes] + [schema]))
-
-
-def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """docs (doc_id, text, ...) with ids array<int>: the tokens of the whole text, null texts as empty."""
-
-    def finish(own: Encoder, texts: list[str]) -> list[pa.Array]:
-        return [pa.array(own.encode(texts), pa.list_(pa.int32()))]
-
-    return _run(docs, docs.columns, "ids array<int>", finish, path, pattern)
+    return docs.mapInArrow(run, ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + ["ids array<int>"]))
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -229,12 +228,16 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     Null and empty texts have no tokens. Other columns are left out.
     """
 
-    def finish(own: Encoder, texts: list[str]) -> list[pa.Array]:
-        names, n, ids_hash, decoded = {i: str(i) for i in own.ranks.bytes_of}, [], [], []
-        for ids in own.encode(texts):
-            n.append(len(ids))
-            ids_hash.append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
-            decoded.append(hashlib.sha256(own.ranks.decode(ids)).hexdigest())
-        return [pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(decoded, pa.string())]
-
-    return _run(docs, ["doc_id"], "n_tokens long, ids_sha256 string, decoded_sha256 string", finish, path, pattern)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(path, pattern)
+        names = {i: str(i) for i in own.ranks.bytes_of}
+        for batch in batches:
+            n, ids_hash, decoded = [], [], []
+            for ids in own.encode(batch.column("text").to_pylist()):
+                n.append(len(ids))
+                ids_hash.append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
+                decoded.append(hashlib.sha256(own.ranks.decode(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

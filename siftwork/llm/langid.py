@@ -73,7 +73,7 @@ class Model:
             self.contexts.append([(p, len(self.bare.compress(p))) for p in pieces])
 
     def predict(self, text: str) -> tuple[str, float]:
-        """(language, margin): how much larger the second-best size is, as part of it; 0 if there is one language.
+        """(language, margin): how much larger the second-best size is, as part of it; 1 if there is one language.
 
         A short text, or one of equal words, may be too small to gain from a far match; then its distinct words are
         compressed behind near pieces of each dictionary, whose letter statistics count as well.
@@ -81,12 +81,14 @@ class Model:
         raw = plain(text)
         if not raw or not self.languages:
             return UNKNOWN, 0.0
+        if len(self.languages) == 1:
+            return self.languages[0], 1.0
         sizes = [len(c.compress(raw)) - empty for c, empty in self.compressors]
         if len(raw) <= SHORT or sorted(sizes)[:2] == [min(sizes)] * 2:
             words = b" ".join(dict.fromkeys(raw.split()))
             sizes = [sum(len(self.bare.compress(p + words)) - n for p, n in own) for own in self.contexts]
         best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
-        second = min((s for i, s in enumerate(sizes) if i != best), default=sizes[best])
+        second = min(s for i, s in enumerate(sizes) if i != best)
         return self.languages[best], (second - sizes[best]) / max(1, second)
 
 
@@ -96,26 +98,24 @@ def model(items: tuple[tuple[str, bytes], ...]) -> Model:
 
 
 def predicted(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """docs with lang_pred, score (0 to 1) and rejected, from whole texts alone.
+    """docs with _language, struct<lang_pred, score (0 to 1), rejected>, from whole texts alone.
 
     lang_pred is `und` for null texts and texts without letters, whose score is 0; those and texts with a margin below
     MARGIN are rejected.
     """
     items = tuple(dictionaries.items())
     names = docs.columns
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(items)
         for batch in batches:
-            got = [(UNKNOWN, 0.0) if t is None else own.predict(t) for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array([x[0] for x in got], pa.string()), pa.array([min(1.0, max(0.0, x[1])) for x in got], pa.float64())],
-                [*names, "lang_pred", "score"],
-            )
+            got = [(UNKNOWN, 0.0) if t is None else own.predict(t) for t in batch.column("text").to_pylist()]
+            found = [{"lang_pred": lang, "score": min(1.0, max(0.0, score)), "rejected": lang == UNKNOWN or score < MARGIN} for lang, score in got]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*names, "_language"])
 
-    kept = docs.withColumn("_text", F.col("text"))
-    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + ["lang_pred string, score double"])
-    return kept.mapInArrow(run, schema).withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("score") < MARGIN))
+    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + ["_language struct<lang_pred:string,score:double,rejected:boolean>"])
+    return docs.mapInArrow(run, schema)
 
 
 def languages(docs: DataFrame) -> DataFrame:
@@ -127,4 +127,4 @@ def languages(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", "lang")
     dictionaries = learn(docs.where(~held_out()))
     rows = docs.select("doc_id", "text", F.coalesce(held_out(), F.lit(False)).alias("held_out"))
-    return predicted(rows, dictionaries).drop("text")
+    return predicted(rows, dictionaries).select("doc_id", "held_out", "_language.*")

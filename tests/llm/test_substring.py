@@ -45,12 +45,20 @@ def test_a_full_sketch_loses_nothing(spark, monkeypatch):
 
 def test_anchors_move_with_their_window():
     rng = np.random.default_rng(3)
-    runs = rng.integers(0, 50, 400).astype(np.uint64)
+    runs = rng.integers(0, 50, 400).astype(np.uint64) << np.uint64(40)
     got = substring.anchors(runs, 20, 8)
     assert len(got) == 400 - 12
     assert all(got[i] == i + int(runs[i : i + 13].argmin()) for i in range(len(got)))
 
 
+def test_hashes_of_runs():
+    words = np.random.default_rng(4).integers(0, 3, 300).astype(np.uint64)
+    for width, got in zip((1, 8, 20, 5), substring.spans(words, 1, 8, 20, 5)):
+        keys = [tuple(words[i : i + width]) for i in range(300 - width + 1)]
+        assert len(got) == len(keys) and len(set(got.tolist())) == len(set(keys)) == len(set(zip(keys, got.tolist())))
+    assert [len(x) for x in substring.spans(words[:6], 8, 20)] == [0, 0]
+
+
 def test_edges(edges, none):
     out = {r.doc_id: r for r in substring.removal_digest(edges).collect()}
     assert out[3].n_words == out[4].n_words == 0 and out[None].n_removed == 0 and out[6].n_words == 1
