@@ -13,8 +13,8 @@ from siftwork.llm.common import stored, table
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear, with what was recognised as lang; the model is made from the stage's input."""
     dictionaries = langid.learn(docs.where(~langid.held_out()))
-    kept = langid.predicted(docs, dictionaries).where("not rejected")
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    kept = langid.predicted(docs, dictionaries).where("not _language.rejected")
+    return kept.withColumn("lang", F.col("_language.lang_pred")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with ids, their tokens, and n_tokens."""
+    """Documents with ids, their tokens, and n_tokens; columns of these names are replaced."""
     out = bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.withColumn("n_tokens", F.size("ids").cast("long"))
 
