@@ -58,4 +58,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: What SQL can express. The others are tested against brute force, exact round trips or held-out accuracy.
-ORACLE_SQL: dict[str, str] = {"op7_exact_topk": knn.SQL, "op9_source_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_minhash_dedup": minhash.SQL, "op3_pii_spans": pii.SQL, "op6_substring_dedup": substring.SQL, "op7_exact_topk": knn.SQL, "op9_source_mixing": mixing.SQL}
