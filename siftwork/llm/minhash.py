@@ -29,7 +29,7 @@ from siftwork.llm.common import WordHashes, connected_components, discard, shing
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // ROWS
 LEADERS = 4
-BLOCK, BLOCK_HASHES = 256, 200_000
+BLOCK, BLOCK_HASHES = 1024, 1_000_000
 SIGMAS = 5.0
 #: Below this set size, few registers are filled by hashes of their own: such pairs go straight to the full sets.
 ESTIMATE_FROM = 64
@@ -164,7 +164,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def across_components(members: DataFrame, sketched: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one bucket in different components whose sets, as 32-bit hashes, reach percent.
 
-    members: bucket, band, doc_id, component. A bucket is dealt into blocks of about 256 members and 200,000 hashes, and
+    members: bucket, band, doc_id, component. A bucket is dealt into blocks of about 1,024 members and a million hashes, and
     each pair of blocks is one group, so that no group grows with its bucket. A pair is compared in the first band that
     it shares. Sets are compared within the task: pairs that fail are no rows. Shortened hashes can only add pairs.
     """
