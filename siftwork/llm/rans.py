@@ -14,6 +14,7 @@ Blocks don't depend on each other: they are written and decoded by any task, and
 
 from __future__ import annotations
 
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,14 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import discard, shared_folder, stored
+from siftwork.llm.common import discard, shared_folder, stored, text_bytes
 
 LANES, EVERY, SCALE = 512, 256, 22
 BLOCK_TOKENS = 1 << 19
 END = 2
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 
 def scaled(counts: dict[int, int], bits: int = SCALE) -> dict[int, int]:
@@ -123,29 +124,31 @@ def decode(states: bytes, marks: bytes, words: bytes, n: int, table: Table, lane
 
 
 class Tokens(dict):
-    """Ids of words as little-endian 32-bit integers, remembered within a bound.
+    """Ids of words (as bytes) as little-endian 32-bit integers, remembered within a bound.
 
-    Right for tokenizers whose pre-tokenizer never joins what ASCII white space separates, and drops that white space.
+    The words of the last generation go over to the next one when they are asked for again, so common words stay. Right
+    for tokenizers whose pre-tokenizer never joins what ASCII white space separates, and drops that white space.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, words: set[str]) -> None:
-        if len(self) > REMEMBERED:
+        self.encode, self.before = Tokenizer.from_file(path).encode, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.before.get(word)
+        if found is None:
+            ids = self.encode(word.decode(), add_special_tokens=False).ids
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) >= REMEMBERED:
+            self.before = dict(self)
             self.clear()
-        new = list(words.difference(self))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self[word] = np.array(got.ids, "<u4").tobytes()
+        self[word] = found
+        return found
 
-    def of(self, texts: list[list[str]], end: bytes) -> Iterator[bytes]:
-        for words in texts:
-            yield b"".join(map(self.__getitem__, words)) + end
+    def of(self, texts: list[bytes], end: bytes) -> list[bytes]:
+        return [b"".join(map(self.__getitem__, text.split())) + end for text in texts]
 
 
 @lru_cache(2)
@@ -153,13 +156,10 @@ def tokens(path: str) -> Tokens:
     return Tokens(path)
 
 
-_BLANK = {i: " " for i in range(9, 14)}
-
-
 def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """docs (doc_id, text) in ascending order of doc_id, nulls first: part, place (ids of the part before), doc_id, ids."""
     # A row that repeats a doc_id follows in order of its text, so that a task run again gives the same part.
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", text_bytes().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     mark = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,10 +167,8 @@ def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                # \x1c to \x1f are white space to str.split, but not here.
-                split = [[w for w in t.translate(_BLANK).split(" ") if w] for t in some.column("text").to_pylist()]
-                own.learn({w for words in split for w in words})
-                ids = list(own.of(split, mark))
+                # bytes.split() knows just the six ASCII characters.
+                ids = own.of(some.column("text").to_pylist(), mark)
                 places = np.cumsum([0, *(len(x) // 4 for x in ids)])
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(place + places[:-1], pa.int64()), some.column("doc_id"), pa.array(ids, pa.binary())], ["part", "place", "doc_id", "ids"])
                 place += int(places[-1])
