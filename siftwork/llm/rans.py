@@ -61,6 +61,8 @@ class Table:
         self.ids = np.array(sorted(frequency), np.int64)
         self.frequency = np.array([frequency[i] for i in self.ids.tolist()], np.uint64)
         self.start = np.concatenate(([0], np.cumsum(self.frequency)[:-1])).astype(np.uint64) if len(self.ids) else np.zeros(0, np.uint64)
+        self.number = np.zeros(int(self.ids.max()) + 1 if len(self.ids) else 0, np.int32)
+        self.number[self.ids] = np.arange(len(self.ids))
         self._symbols: np.ndarray | None = None
 
     def symbols(self) -> np.ndarray:
@@ -72,10 +74,11 @@ class Table:
 
 def encode(ids: np.ndarray, table: Table, lanes: int = LANES, every: int = EVERY) -> tuple[bytes, bytes, bytes]:
     """(states, marks, words) of a block: 64-bit states before the first id, marks every `every` steps, 32-bit words."""
-    symbol = np.searchsorted(table.ids, ids)
+    symbol = table.number[ids]
     steps = -(-len(ids) // lanes)
     bits, top = np.uint64(table.bits), np.uint64(63 - table.bits)
     f, c = table.frequency[symbol], table.start[symbol]
+    full = f << top
     state = np.full(lanes, _LOW, np.uint64)
     words: list[np.ndarray] = []
     marks: list[tuple[int, np.ndarray]] = []
@@ -83,7 +86,7 @@ def encode(ids: np.ndarray, table: Table, lanes: int = LANES, every: int = EVERY
     for t in range(steps - 1, -1, -1):
         a, b = t * lanes, min((t + 1) * lanes, len(ids))
         x, fr = state[: b - a], f[a:b]
-        high = np.flatnonzero(x >= fr << top)
+        high = np.flatnonzero(x >= full[a:b])
         if len(high):
             words.append((x[high] & np.uint64(0xFFFFFFFF)).astype("<u4")[::-1])
             x[high] >>= _WORD
@@ -134,7 +137,9 @@ class Tokens(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encode, self.before = Tokenizer.from_file(path).encode, {}
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.before = tokenizer.encode, {}
+        self.lower = tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("AZ") == "az"
 
     def __missing__(self, word: bytes) -> bytes:
         found = self.before.get(word)
@@ -148,7 +153,12 @@ class Tokens(dict):
         return found
 
     def of(self, texts: list[bytes], end: bytes) -> list[bytes]:
-        return [b"".join(map(self.__getitem__, text.split())) + end for text in texts]
+        out = []
+        for text in texts:
+            # The tokenizer lower-cases; in ASCII that can come first, unless a special token might be spelt by it.
+            words = text.lower().split() if self.lower and text.isascii() and b"<" not in text else text.split()
+            out.append(b"".join(map(self.__getitem__, words)) + end)
+        return out
 
 
 @lru_cache(2)
@@ -182,10 +192,9 @@ def id_counts(tokens_: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                n = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"), minlength=len(total))
-                n[: len(total)] += total
-                total = n
+            n = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u4"), minlength=len(total))
+            n[: len(total)] += total
+            total = n
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["id", "n"])
 

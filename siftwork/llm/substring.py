@@ -4,8 +4,11 @@
    words have equal anchors at equal offsets; so an anchor occurs at least as often as each window it stands for, and
    about one run in seven is an anchor. Each task sketches its anchors; the sketches are merged by segment. Two rows of
    counters, which stop at two, overestimate every count.
-2. A second pass emits exactly the windows whose anchor's estimate is two or more. They are grouped by a 128-bit hash of
-   all their words; the first occurrence stays.
+2. A second pass groups exactly what is estimated repeated: the windows that share an anchor as one stretch, by a hash
+   of all their words; its first occurrence stays, later ones are repeated.
+3. Of an anchor with several different stretches, single windows may still be equal (where a passage ends). A sketch of
+   those anchors lets only them through a third pass, which groups single windows; so each repeated window is found,
+   at a fraction of the rows.
 
 The sketch has a fixed bound (2^28 counters a row, 32 MB as bits). Beyond what it can tell apart it lets more windows
 through to the exact grouping, but never loses one.
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import WordHashes, discard, mixed, shingles, stored, text_bytes
+from siftwork.llm.common import WordHashes, discard, mixed, stored, text_bytes
 
 WINDOW, RUN = 20, 8
 SEGMENT = 1 << 17  # counters
@@ -35,25 +38,71 @@ def word_lists(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
         yield text.split()
 
 
+_MANY = 1 << 17  # words that are hashed together
+_PLACE = np.uint64((1 << 24) - 1)
+
+
+def together(batch: pa.RecordBatch, hashes: WordHashes, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of the batch, their words' hashes behind each other, where each row's words end), texts of a window or more."""
+    rows, words, ends = [], [], []
+    for row, some in enumerate(word_lists(batch)):
+        if len(some) >= window:
+            rows.append(row)
+            words += some
+            ends.append(len(words))
+            if len(words) > _MANY:
+                yield np.array(rows), hashes.of(words), np.array(ends)
+                rows, words, ends = [], [], []
+    if rows:
+        yield np.array(rows), hashes.of(words), np.array(ends)
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return x ^ (x >> np.uint64(29))
+
+
+def spans(words: np.ndarray, *widths: int) -> list[np.ndarray]:
+    """For each width, a hash of every run of so many words: of halves, and those of their halves."""
+    with np.errstate(over="ignore"):
+        powers, out = [words], []
+        while 2 << (len(powers) - 1) <= max(widths):
+            step = 1 << (len(powers) - 1)
+            powers.append(_joined(powers[-1][:-step], powers[-1][step:]) if len(powers[-1]) > step else powers[-1][:0])
+        for width in widths:
+            whole, at = None, 0
+            for bit in reversed(range(width.bit_length())):
+                if width >> bit & 1:
+                    part = powers[bit][at:]
+                    n = max(0, len(words) - width + 1)
+                    whole, at = part[:n] if whole is None else _joined(whole[:n], part[:n]), at + (1 << bit)
+            out.append(whole)
+        return out
+
+
 def anchors(runs: np.ndarray, window: int, run: int) -> np.ndarray:
-    """For each window, the place of the smallest of its runs, the leftmost of equals."""
+    """For each window, the place of the smallest of its runs by their leading 40 bits, the leftmost of equals."""
     span = window - run + 1
     if len(runs) < span:
         return np.zeros(0, np.int64)
-    best = np.arange(len(runs))
-    low, size = runs.copy(), 1
-    # Doubling: low[i] is the smallest of runs[i : i + size].
+    low, size = (runs & ~_PLACE) | np.arange(len(runs), dtype=np.uint64), 1
+    # Doubling: low[i] is the smallest of runs[i : i + size], with its place in the low bits.
     while size * 2 <= span:
-        a, b = low[:-size], low[size:]
-        take = b < a
-        best = np.where(take, best[size:], best[:-size])
-        low = np.where(take, b, a)
+        low = np.minimum(low[:-size], low[size:])
         size *= 2
-    rest = span - size
-    if rest:
-        a, b = low[:-rest], low[rest:]
-        best = np.where(b < a, best[rest:], best[:-rest])
-    return best
+    if span > size:
+        low = np.minimum(low[: size - span], low[span - size :])
+    return (low & _PLACE).astype(np.int64)
+
+
+def windows_of(words: np.ndarray, ends: np.ndarray, window: int, run: int) -> tuple[np.ndarray, ...]:
+    """Of texts behind each other: (start, text, anchor place) of each window inside a text, and hashes of runs and windows."""
+    runs, content = spans(words, run, window)
+    at = anchors(runs, window, run)
+    text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[: len(at)]
+    start = np.flatnonzero(np.arange(len(at)) + window <= ends[text])
+    return start, text[start], at[start], runs, content
 
 
 def _cells(values: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -62,8 +111,8 @@ def _cells(values: np.ndarray, bits: int) -> list[np.ndarray]:
         return [(mixed(values + np.uint64(977 * (i + 1))) >> np.uint64(64 - bits)).astype(np.int64) for i in range(ROWS)]
 
 
-def sketch(texts: DataFrame, bits: int, window: int = WINDOW, run: int = RUN) -> np.ndarray:
-    """Of texts (text as bytes), a bit per counter: whether it reached two. ROWS x 2^bits bits.
+def sketch(values: DataFrame, bits: int) -> np.ndarray:
+    """Of values (each a batch of 64-bit hashes as bytes), a bit per counter: whether it reached two. ROWS x 2^bits bits.
 
     Tasks send compressed pieces of the counters they touched, which are merged by piece; a counter stops at two.
     """
@@ -81,13 +130,11 @@ def sketch(texts: DataFrame, bits: int, window: int = WINDOW, run: int = RUN) ->
                 yield pa.RecordBatch.from_arrays([pa.array([i * segments + s], pa.int32()), pa.array([data], pa.binary())], ["piece", "bits"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = WordHashes(), [], 0
+        held, size = [], 0
         for batch in batches:
-            for words in word_lists(batch):
-                if len(words) >= window:
-                    runs = shingles(hashes.of(words), run)
-                    held.append(runs[np.unique(anchors(runs, window, run))])
-                    size += len(held[-1])
+            for data in batch.column(0):
+                held.append(np.frombuffer(data.as_buffer(), np.uint64))
+                size += len(held[-1])
             if size > HELD:
                 yield from pieces_of(held)
                 held, size = [], 0
@@ -102,14 +149,28 @@ def sketch(texts: DataFrame, bits: int, window: int = WINDOW, run: int = RUN) ->
         if twice.any():
             yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([twice.tobytes()], pa.binary())], ["piece", "bits"])
 
-    pieces = texts.select("text").mapInArrow(count, "piece int, bits binary")
-    merged = pieces.groupBy("piece").applyInArrow(merge, "piece int, bits binary")
+    merged = values.mapInArrow(count, "piece int, bits binary").groupBy("piece").applyInArrow(merge, "piece int, bits binary")
     out = np.zeros((ROWS, segments, SEGMENT // 8), np.uint8)
     for r in merged.toLocalIterator():  # a bounded sketch: ROWS x 2^bits bits at most
         out[r["piece"] // segments, r["piece"] % segments] = np.frombuffer(r["bits"], np.uint8)
     return out.reshape(ROWS, -1)
 
 
+def anchor_hashes(texts: DataFrame, window: int, run: int) -> DataFrame:
+    """A row per text (as bytes) with a window: the hashes of its anchors, each place once, as bytes."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            out = []
+            for _, words, ends in together(batch, hashes, window):
+                _, _, at, runs, _ = windows_of(words, ends, window, run)
+                out.append(runs[at[np.flatnonzero(np.diff(at, prepend=-1))]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["hashes"])
+
+    return texts.select("text").mapInArrow(find, "hashes binary")
+
+
 def _reached(values: np.ndarray, seen: np.ndarray, bits: int) -> np.ndarray:
     out = np.ones(len(values), bool)
     for i, cells in enumerate(_cells(values, bits)):
@@ -117,42 +178,75 @@ def _reached(values: np.ndarray, seen: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def stretches(docs: DataFrame, seen, bits: int, window: int, run: int, single: bool) -> DataFrame:
+    """(anchor, content, doc_id, start, n) of the stretches of windows whose anchor is marked in seen.
+
+    A stretch is all the n windows of a document that share an anchor, and content a hash of them; with single, each
+    window is a stretch of its own. anchor and content together are 128 bits.
+    """
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            found, ids = [], batch.column("doc_id").to_numpy()
+            for rows, words, ends in together(batch, hashes, window):
+                start, text, at, runs, content = windows_of(words, ends, window, run)
+                begins = np.flatnonzero(np.diff(at, prepend=-1))
+                hit = _reached(runs[at[begins]], seen.value[0], bits)
+                if not hit.any():
+                    continue
+                sizes = np.diff(np.append(begins, len(at)))
+                content = content[start]
+                if single:
+                    some = np.flatnonzero(np.repeat(hit, sizes))
+                    n, content = np.ones(len(some), np.int64), content[some]
+                else:
+                    with np.errstate(over="ignore"):
+                        places = (np.arange(len(at)) - np.repeat(begins, sizes)).astype(np.uint64)
+                        content = mixed(np.add.reduceat(mixed(content + places), begins) + sizes.astype(np.uint64))[hit]
+                    some, n = begins[hit], sizes[hit]
+                first = start[some] - np.concatenate(([0], ends))[text[some]]
+                found.append((runs[at[some]], content, ids[rows[text[some]]], first, n))
+            if found:
+                a, c, d, s, n = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "content", "doc_id", "start", "n"])
+
+    return docs.mapInArrow(find, "anchor long, content long, doc_id long, start int, n int")
+
+
+def _later(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """(doc_id, start, n) of rows that aren't the first of their content."""
+    again = rows.join(first, ["anchor", "content"]).where(F.struct("doc_id", "start") > F.col("first"))
+    return again.select("doc_id", "start", "n")
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """(doc_id, start) of each window of docs (doc_id, text as bytes) that also starts earlier.
+    """(doc_id, start, n): stretches of n windows of docs (doc_id, text as bytes) that also start earlier.
 
     Earlier is a smaller doc_id, or an earlier start in the same document.
     """
     spark = docs.sparkSession
-    # Words are at least two bytes with the space behind them; about one in seven begins an anchor.
+    # About five bytes a word, and one word in seven begins an anchor: eight counters an anchor.
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(1, size / 40 * 8))))))
-    seen = spark.sparkContext.broadcast(sketch(docs, bits, window, run))
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+    known = docs.where("doc_id is not null")
+    seen = spark.sparkContext.broadcast([sketch(anchor_hashes(docs, window, run), bits)])
+    # Hashes, not texts, are shuffled.
+    whole, whole_at = stored(stretches(known, seen, bits, window, run, single=False), "stretches")
+    first, first_at = stored(whole.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")), "contents")
+    copies, _ = stored(_later(whole, first.where("n > 1").select("anchor", "content", "first")), "repeats")
+
+    # An anchor with several contents: windows may be equal though their stretches aren't. A content counts once.
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, words in zip(batch.column("doc_id").to_pylist(), word_lists(batch)):
-                if len(words) < window:
-                    continue
-                own = hashes.of(words)
-                runs = shingles(own, run)
-                at = anchors(runs, window, run)
-                places, of = np.unique(at, return_inverse=True)
-                starts = np.flatnonzero(_reached(runs[places], seen.value, bits)[of])
-                if len(starts):
-                    yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(shingles(own, window, seed)[starts].view(np.int64)) for seed in (1, 2)), pa.array(np.full(len(starts), doc)), pa.array(starts.astype(np.int32))],
-                        ["h1", "h2", "doc_id", "start"],
-                    )
-
-    # Hashes, not texts, are shuffled; of a window that very many documents share, each task sends one row to the group.
-    found = docs.where("doc_id is not null").mapInArrow(windows, "h1 long, h2 long, doc_id long, start int")
-    kept, path = stored(found, "windows")
-    first = kept.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
-    again = kept.join(first, ["h1", "h2"]).where(F.struct("doc_id", "start") > F.col("first"))
-    out, _ = stored(again.select("doc_id", "start"), "repeats")
-    discard(spark, path)
-    return out
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().astype(np.int64).tobytes()], pa.binary())], ["hashes"])
+
+    edges = spark.sparkContext.broadcast([sketch(first.select("anchor").mapInArrow(packed, "hashes binary"), bits)])
+    single, single_at = stored(stretches(known, edges, bits, window, run, single=True), "windows")
+    opening = single.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("anchor", "content", "first")
+    parts, _ = stored(_later(single, opening), "repeats")
+    discard(spark, whole_at, first_at, single_at)
+    return copies.union(parts)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -164,7 +258,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     one document.
     """
     rows = docs.select("doc_id", text_bytes().alias("text"))
-    starts = repeated_windows(rows, window).groupBy("doc_id").agg(F.collect_set("start").alias("starts"))  # bounded by the document
+    starts = repeated_windows(rows, window).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("starts"))  # bounded by the document
     joined = rows.join(starts, "doc_id", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,10 +268,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 n.append(len(words))
                 if starts:
                     steps = np.zeros(len(words) + 1, np.int64)
-                    at = np.array(starts)
-                    at = at[at + window <= len(words)]
-                    np.add.at(steps, at, 1)
-                    np.add.at(steps, at + window, -1)
+                    at = np.array([(x["start"], x["start"] + x["n"] - 1 + window) for x in starts])
+                    at = at[at[:, 1] <= len(words)]
+                    np.add.at(steps, at[:, 0], 1)
+                    np.add.at(steps, at[:, 1], -1)
                     stays = np.cumsum(steps[:-1]) == 0
                     words = [w for w, s in zip(words, stays) if s]
                 removed.append(n[-1] - len(words))
@@ -192,3 +286,21 @@ def removal_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """without_repeats with kept_text as SHA-256."""
     out = without_repeats(docs, window)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: The rows of removal_digest in DuckDB, with windows compared by all their words.
+SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+windows AS (
+  SELECT doc_id, unnest(range(1, len(words) - 18)) AS i,
+         unnest(list_transform(range(1, len(words) - 18), lambda k: array_to_string(words[k:k + 19], ' '))) AS content
+  FROM w WHERE len(words) >= 20),
+again AS (SELECT doc_id, i, row_number() OVER (PARTITION BY content ORDER BY doc_id, i) > 1 AS repeated FROM windows),
+places AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
+covered AS (
+  SELECT p.doc_id, p.i, p.word, coalesce(bool_or(a.repeated) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM places p LEFT JOIN again a ON a.doc_id = p.doc_id AND a.i = p.i),
+kept AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS text FROM covered GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n, 0) AS n_words, coalesce(removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept k ON k.doc_id = w.doc_id
+"""

@@ -1,3 +1,4 @@
+import uuid
 import zlib
 
 import numpy as np
@@ -57,7 +58,7 @@ def test_documents(spark, documents):
 
 
 def test_a_damaged_block_is_found(spark, documents):
-    folder = f"{shared_folder(spark)}/damaged"
+    folder = f"{shared_folder(spark)}/damaged-{uuid.uuid4().hex}"
     rans.write_tokens(documents, folder, PATH)
     bad = spark.read.parquet(f"{folder}/blocks").selectExpr("* EXCEPT (crc32)", "crc32 + 1 AS crc32")
     bad.write.parquet(f"{folder}-2/blocks")
