@@ -14,6 +14,7 @@ Blocks don't depend on each other: they are written and decoded by any task, and
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -126,11 +127,20 @@ def decode(states: bytes, marks: bytes, words: bytes, n: int, table: Table, lane
     return table.ids[out].astype("<u4")
 
 
+#: Latin letters, lower case last, and ASCII signs (none of special tokens or contractions) that may follow a word.
+_LETTERS = "".join(map(chr, [*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF), *range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
+_SIGNS = "!#$%&()*+,-./:;=?@_~"
+_PLAIN = re.compile(rf"([{_LETTERS}]+)([{re.escape(_SIGNS)}]*)")
+
+
 class Tokens(dict):
     """Ids of words (as bytes) as little-endian 32-bit integers, remembered within a bound.
 
     The words of the last generation go over to the next one when they are asked for again, so common words stay. Right
     for tokenizers whose pre-tokenizer never joins what ASCII white space separates, and drops that white space.
+
+    Where the tokenizer takes Latin letters as one piece and signs behind them as another, a word of these goes to its
+    model directly, piece by piece; any other word takes the whole way.
     """
 
     def __init__(self, path: str):
@@ -138,14 +148,35 @@ class Tokens(dict):
 
         super().__init__()
         tokenizer = Tokenizer.from_file(path)
-        self.encode, self.before = tokenizer.encode, {}
+        self.encode, self.tokenize, self.before = tokenizer.encode, tokenizer.model.tokenize, {}
         self.lower = tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("AZ") == "az"
+        self.written = self._letters(tokenizer)
+
+    @staticmethod
+    def _letters(tokenizer) -> dict[int, str] | None:
+        """How the pre-tokenizer writes each lower-case letter; None if it doesn't split words as _PLAIN does."""
+        split = tokenizer.pre_tokenizer and tokenizer.pre_tokenizer.pre_tokenize_str
+        low = _LETTERS.lower()
+        if not split or tokenizer.normalizer is None or tokenizer.normalizer.normalize_str(_LETTERS + _SIGNS) != low + _SIGNS:
+            return None
+        written = {ord(c): split(c)[0][0] for c in low}
+        return written if [x for x, _ in split(low + _SIGNS)] == [low.translate(written), _SIGNS] else None
+
+    def _encoded(self, word: str) -> bytes:
+        match = _PLAIN.fullmatch(word) if self.written else None
+        if match is None:
+            ids = self.encode(word, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        letters, signs = match.groups()
+        if signs:
+            return self[letters.lower().encode()] + self[signs.encode()]
+        ids = [t.id for t in self.tokenize(letters.lower().translate(self.written))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: bytes) -> bytes:
         found = self.before.get(word)
         if found is None:
-            ids = self.encode(word.decode(), add_special_tokens=False).ids
-            found = struct.pack(f"<{len(ids)}I", *ids)
+            found = self._encoded(word.decode())
         if len(self) >= REMEMBERED:
             self.before = dict(self)
             self.clear()
@@ -156,8 +187,12 @@ class Tokens(dict):
         out = []
         for text in texts:
             # The tokenizer lower-cases; in ASCII that can come first, unless a special token might be spelt by it.
-            words = text.lower().split() if self.lower and text.isascii() and b"<" not in text else text.split()
-            out.append(b"".join(map(self.__getitem__, words)) + end)
+            if b"<" not in text:
+                if self.lower and text.isascii():
+                    text = text.lower()
+                elif self.written and max(text) < 0xC4:  # Latin-1 as UTF-8: each letter has one lower-case form, whatever is beside it
+                    text = text.decode().lower().encode()
+            out.append(b"".join(map(self.__getitem__, text.split())) + end)
         return out
 
 
