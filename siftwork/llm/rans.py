@@ -4,8 +4,8 @@ A dataset of three tables in one folder:
   frequencies  id, frequency     one table for all blocks, scaled to 2^22; ids that never occur are absent
   blocks       part, block, start, n_tokens, doc_ids, lengths, states, marks, words, crc32
   parts        part, start       ids in all parts before
-Parts are ranges of doc_id in ascending order, blocks are runs of whole documents within a part. In a block, 512 coders
-work side by side: coder i has the ids i, i + 512, ...; their 32-bit words are interleaved in one stream. Every 256
+Parts are ranges of doc_id in ascending order, blocks are runs of whole documents within a part. In a block, 1,024 coders
+work side by side: coder i has the ids i, i + 1024, ...; their 32-bit words are interleaved in one stream. Every 128
 steps, marks hold the coders' states and the place in the stream, so that a block can be decoded from there, too;
 crc32 is that of the decoded ids as little-endian 32-bit integers.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from siftwork.llm.common import discard, shared_folder, stored, text_bytes
 
-LANES, EVERY, SCALE = 512, 256, 22
+LANES, EVERY, SCALE = 1024, 128, 22
 BLOCK_TOKENS = 1 << 19
 END = 2
 _LOW = np.uint64(1 << 31)
