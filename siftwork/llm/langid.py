@@ -78,7 +78,8 @@ class Model:
         A short text, or one of equal words, may be too small to gain from a far match; then its distinct words are
         compressed behind near pieces of each dictionary, whose letter statistics count as well.
         """
-        raw = plain(text)
+        # Fractions and the like are word characters, too, but no letters.
+        raw = plain(text) if any(map(str.isalpha, text)) else b""
         if not raw or not self.languages:
             return UNKNOWN, 0.0
         if len(self.languages) == 1:

@@ -20,7 +20,7 @@ def test_edges(edges, none, documents):
     out = {r.doc_id: r for r in langid.predicted(edges, model).select("doc_id", "_language.*").collect()}
     assert out[3].lang_pred == out[4].lang_pred == out[5].lang_pred == "und" and out[3].score == 0 and out[3].rejected
     assert out[6].lang_pred in model and out[8].lang_pred in model
-    odd = edges.selectExpr("doc_id", "'12 34 !!' AS text")
+    odd = edges.selectExpr("doc_id", "'12 34 !! ½ ² Ⅷ_' AS text")
     assert {r.lang_pred for r in langid.predicted(odd, model).select("_language.*").collect()} == {"und"}
     assert langid.languages(none).count() == 0
     assert langid.languages(edges).count() == edges.count()
