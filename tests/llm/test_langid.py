@@ -1,3 +1,5 @@
+import random
+
 from siftwork.llm import langid
 
 
@@ -24,3 +26,17 @@ def test_edges(edges, none, documents):
     assert {r.lang_pred for r in langid.predicted(odd, model).select("_language.*").collect()} == {"und"}
     assert langid.languages(none).count() == 0
     assert langid.languages(edges).count() == edges.count()
+
+
+def test_length_rejects_no_clean_text(documents):
+    """A text of several MB has about the margin of its parts, and its later parts count."""
+    model = langid.model(tuple(langid.learn(documents).items()))
+    words = {}
+    for r in documents.where("text is not null").select("lang", "text").collect():
+        words.setdefault(r.lang, []).extend(r.text.split())
+    first, second = sorted(model.languages)[:2]
+    draw = lambda lang, n: " ".join(random.Random(7).choices(words[lang], k=n))
+    for lang in model.languages:
+        (short, part), (long, whole) = model.predict(draw(lang, 5_000)), model.predict(draw(lang, 600_000))
+        assert short == long == lang and whole >= langid.MARGIN and whole > 0.5 * part
+    assert model.predict(draw(first, 60_000) + " " + draw(second, 240_000))[0] == second
