@@ -1,22 +1,22 @@
 """Removal of repeated passages: windows of words that start earlier elsewhere, found behind a count-min sketch.
 
-1. Of the eight-word runs inside a window, the one of smallest hash (leftmost of equals) is its anchor. Windows of equal
-   words have equal anchors at equal offsets; so an anchor occurs at least as often as each window it stands for, and
-   about one run in seven is an anchor. Each task sketches its anchors; the sketches are merged by segment. Two rows of
-   counters, which stop at two, overestimate every count.
-2. A second pass groups exactly what is estimated repeated: the windows that share an anchor as one stretch, by a hash
-   of all their words; its first occurrence stays, later ones are repeated.
-3. Of an anchor with several different stretches, single windows may still be equal (where a passage ends). A sketch of
-   those anchors lets only them through a third pass, which groups single windows; so each repeated window is found,
-   at a fraction of the rows.
-
-The sketch has a fixed bound (2^28 counters a row, 32 MB as bits). Beyond what it can tell apart it lets more windows
-through to the exact grouping, but never loses one.
+1. Each task sketches the windows of its partition: per row of the sketch, the counters that its windows touch. The
+   sketches are merged by segment. Counters stop at two, so what is kept is a bit per counter: whether it reached two.
+   Two rows overestimate every count.
+2. A second pass lets through only windows that are estimated repeated. Of the eight-word runs inside a window, the one of
+   smallest hash (leftmost of equals) is its anchor; windows of equal words have equal anchors at equal offsets. Windows
+   behind each other that share an anchor travel as one stretch. Stretches are grouped exactly by anchor and a hash of all
+   their words: of equal ones the first occurrence stays, later ones are repeated.
+3. Of an anchor with several different stretches, single windows may still be equal (where a passage ends). The windows of
+   its stretches are grouped one by one, each different stretch once, at its first occurrence. So each repeated window is
+   found, and copies don't multiply the rows.
+
+The sketch has a fixed bound (2^28 counters a row, 64 MB in all). Beyond what it can tell apart it lets more windows through
+to the exact grouping, in stretches of up to 13, but never loses one.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,34 +27,38 @@ from pyspark.sql import functions as F
 from siftwork.llm.common import WordHashes, discard, mixed, stored, text_bytes
 
 WINDOW, RUN = 20, 8
-SEGMENT = 1 << 17  # counters
 LEAST_BITS, MOST_BITS = 17, 28
+#: Counters are merged in segments of 2^SEGMENT_BITS; a piece of a task's sketch names them in blocks of 2^16.
+SEGMENT_BITS, BLOCK_BITS = 20, 16
 ROWS = 2
-HELD = 4_000_000  # anchors that a task holds before it sends pieces
+HELD = 1 << 20  # windows whose counters a task holds before it sends pieces
+#: Words that are hashed together, and the most of one text: longer ones are taken in pieces that overlap by a window.
+TOGETHER, PIECE = 1 << 17, 1 << 20
 
 
 def word_lists(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
-    for text in batch.column("text").to_pylist():
-        yield text.split()
+    for text in batch.column("text"):
+        yield text.as_py().split()
 
 
-_MANY = 1 << 17  # words that are hashed together
 _PLACE = np.uint64((1 << 24) - 1)
 
 
-def together(batch: pa.RecordBatch, hashes: WordHashes, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows of the batch, their words' hashes behind each other, where each row's words end), texts of a window or more."""
-    rows, words, ends = [], [], []
+def together(batch: pa.RecordBatch, hashes: WordHashes, window: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(rows of the batch, place of the first word in its text, words' hashes behind each other, where each part ends) of
+    texts of a window or more; a part is a text or a piece of a long one."""
+    rows, froms, words, ends = [], [], [], []
     for row, some in enumerate(word_lists(batch)):
-        if len(some) >= window:
+        for at in range(0, len(some) - window + 1, PIECE):
             rows.append(row)
-            words += some
+            froms.append(at)
+            words += some if len(some) <= PIECE else some[at : at + PIECE + window - 1]
             ends.append(len(words))
-            if len(words) > _MANY:
-                yield np.array(rows), hashes.of(words), np.array(ends)
-                rows, words, ends = [], [], []
+            if len(words) > TOGETHER:
+                yield np.array(rows), np.array(froms), hashes.of(words), np.array(ends)
+                rows, froms, words, ends = [], [], [], []
     if rows:
-        yield np.array(rows), hashes.of(words), np.array(ends)
+        yield np.array(rows), np.array(froms), hashes.of(words), np.array(ends)
 
 
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -96,128 +100,135 @@ def anchors(runs: np.ndarray, window: int, run: int) -> np.ndarray:
     return (low & _PLACE).astype(np.int64)
 
 
-def windows_of(words: np.ndarray, ends: np.ndarray, window: int, run: int) -> tuple[np.ndarray, ...]:
-    """Of texts behind each other: (start, text, anchor place) of each window inside a text, and hashes of runs and windows."""
-    runs, content = spans(words, run, window)
-    at = anchors(runs, window, run)
-    text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[: len(at)]
-    start = np.flatnonzero(np.arange(len(at)) + window <= ends[text])
-    return start, text[start], at[start], runs, content
+def inside(ends: np.ndarray, n: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, part) of each of n windows that lies inside one part."""
+    part = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[:n]
+    start = np.flatnonzero(np.arange(n) + window <= ends[part])
+    return start, part[start]
 
 
 def _cells(values: np.ndarray, bits: int) -> list[np.ndarray]:
     """The counter of each value in each row of the sketch."""
     with np.errstate(over="ignore"):
-        return [(mixed(values + np.uint64(977 * (i + 1))) >> np.uint64(64 - bits)).astype(np.int64) for i in range(ROWS)]
+        return [(mixed(values + np.uint64(977 * (i + 1))) >> np.uint64(64 - bits)).astype(np.uint32) for i in range(ROWS)]
 
 
-def sketch(values: DataFrame, bits: int) -> np.ndarray:
-    """Of values (each a batch of 64-bit hashes as bytes), a bit per counter: whether it reached two. ROWS x 2^bits bits.
+def packed(cells: np.ndarray, segment_bits: int) -> Iterator[tuple[int, bytes]]:
+    """Sorted counters, each twice at most, by segment: how many lie in each block of 2^16, and their places in it."""
+    blocks = 1 << max(0, segment_bits - BLOCK_BITS)
+    counts = np.bincount(cells >> np.uint32(BLOCK_BITS), minlength=blocks).astype(np.uint32)
+    counts = np.pad(counts, (0, -len(counts) % blocks)).reshape(-1, blocks)
+    ends, places = np.cumsum(counts.sum(1)), cells.astype(np.uint16)
+    for s in np.flatnonzero(counts.any(1)):
+        yield int(s), counts[s].tobytes() + places[ends[s] - counts[s].sum() : ends[s]].tobytes()
 
-    Tasks send compressed pieces of the counters they touched, which are merged by piece; a counter stops at two.
-    """
-    segments = (1 << bits) // SEGMENT
-
-    def pieces_of(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for i, cells in enumerate(_cells(np.concatenate(held), bits) if held else []):
-            cells, n = np.unique(cells, return_counts=True)
-            ends = np.searchsorted(cells, np.arange(segments + 1) * SEGMENT)
-            for s in np.flatnonzero(ends[1:] > ends[:-1]):
-                own, some = cells[ends[s] : ends[s + 1]] - s * SEGMENT, n[ends[s] : ends[s + 1]] > 1
-                flags = np.zeros((2, SEGMENT), bool)
-                flags[0, own], flags[1, own[some]] = True, True
-                data = zlib.compress(np.packbits(flags).tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([i * segments + s], pa.int32()), pa.array([data], pa.binary())], ["piece", "bits"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for data in batch.column(0):
-                held.append(np.frombuffer(data.as_buffer(), np.uint64))
-                size += len(held[-1])
-            if size > HELD:
-                yield from pieces_of(held)
-                held, size = [], 0
-        yield from pieces_of(held)
-
-    def merge(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(SEGMENT // 8, np.uint8), np.zeros(SEGMENT // 8, np.uint8)
-        for batch in tables:
-            for data in batch.column("bits"):
-                a, b = np.frombuffer(zlib.decompress(data.as_py()), np.uint8).reshape(2, -1)
-                twice, once = twice | b | (once & a), once | a
-        if twice.any():
-            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([twice.tobytes()], pa.binary())], ["piece", "bits"])
+def unpacked(data: memoryview, segment_bits: int) -> np.ndarray:
+    """The counters of a piece, as places in its segment."""
+    blocks = 1 << max(0, segment_bits - BLOCK_BITS)
+    counts = np.frombuffer(data, np.uint32, blocks)
+    return (np.repeat(np.arange(blocks, dtype=np.int64), counts) << BLOCK_BITS) + np.frombuffer(data, np.uint16, offset=4 * blocks)
 
-    merged = values.mapInArrow(count, "piece int, bits binary").groupBy("piece").applyInArrow(merge, "piece int, bits binary")
-    out = np.zeros((ROWS, segments, SEGMENT // 8), np.uint8)
-    for r in merged.toLocalIterator():  # a bounded sketch: ROWS x 2^bits bits at most
-        out[r["piece"] // segments, r["piece"] % segments] = np.frombuffer(r["bits"], np.uint8)
-    return out.reshape(ROWS, -1)
 
+def sketch(texts: DataFrame, bits: int, window: int) -> np.ndarray:
+    """Of all windows of texts (as bytes), a bit per counter: whether it reached two. ROWS x 2^bits bits.
 
-def anchor_hashes(texts: DataFrame, window: int, run: int) -> DataFrame:
-    """A row per text (as bytes) with a window: the hashes of its anchors, each place once, as bytes."""
+    Tasks send the counters that they touched, which are merged by segment.
+    """
+    segment_bits = min(bits, SEGMENT_BITS)
+    segments = 1 << bits - segment_bits
+
+    def pieces_of(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        keys, data = [], []
+        for i, parts in enumerate(held):
+            cells = np.sort(np.concatenate(parts))
+            cells = cells[np.concatenate((np.ones(min(2, len(cells)), bool), cells[2:] != cells[:-2]))]
+            for s, piece in packed(cells, segment_bits):
+                keys.append(i * segments + s)
+                data.append(piece)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(data, pa.binary())], ["piece", "cells"])
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, size = WordHashes(), [[] for _ in range(ROWS)], 0
+        for batch in batches:
+            for _, _, words, ends in together(batch, hashes, window):
+                (content,) = spans(words, window)
+                start, _ = inside(ends, len(content), window)
+                for own, cells in zip(held, _cells(content[start], bits)):
+                    own.append(cells)
+                size += len(start)
+                if size > HELD:
+                    yield from pieces_of(held)
+                    held, size = [[] for _ in range(ROWS)], 0
+        if size:
+            yield from pieces_of(held)
+
+    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice = np.zeros(1 << segment_bits, bool), np.zeros(1 << segment_bits, bool)
         for batch in batches:
-            out = []
-            for _, words, ends in together(batch, hashes, window):
-                _, _, at, runs, _ = windows_of(words, ends, window, run)
-                out.append(runs[at[np.flatnonzero(np.diff(at, prepend=-1))]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["hashes"])
+            for data in batch.column("cells"):
+                cells = unpacked(data.as_buffer(), segment_bits)
+                twice[cells[once[cells]]] = True
+                twice[cells[1:][cells[1:] == cells[:-1]]] = True
+                once[cells] = True
+        if twice.any():
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(twice).tobytes()], pa.binary())], ["piece", "bits"])
 
-    return texts.select("text").mapInArrow(find, "hashes binary")
+    merged = texts.select("text").mapInArrow(count, "piece int, cells binary").groupBy("piece").applyInArrow(merge, "piece int, bits binary")
+    out = np.zeros((ROWS * segments, (1 << segment_bits) // 8), np.uint8)
+    for r in merged.collect():  # a bounded sketch: ROWS x 2^MOST_BITS bits at most
+        out[r["piece"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(ROWS, -1)
 
 
 def _reached(values: np.ndarray, seen: np.ndarray, bits: int) -> np.ndarray:
     out = np.ones(len(values), bool)
-    for i, cells in enumerate(_cells(values, bits)):
-        out &= (seen[i][cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
+    for row, cells in zip(seen, _cells(values, bits)):
+        out &= (row[cells >> np.uint32(3)] >> (7 - (cells & np.uint32(7))).astype(np.uint8) & 1).astype(bool)
     return out
 
 
-def stretches(docs: DataFrame, seen, bits: int, window: int, run: int, single: bool) -> DataFrame:
-    """(anchor, content, doc_id, start, n) of the stretches of windows whose anchor is marked in seen.
+def stretches(docs: DataFrame, seen, bits: int, window: int, run: int) -> DataFrame:
+    """(anchor, content, doc_id, start, n, windows) of the windows that seen marks, in stretches.
 
-    A stretch is all the n windows of a document that share an anchor, and content a hash of them; with single, each
-    window is a stretch of its own. anchor and content together are 128 bits.
+    A stretch is n windows of a document behind each other that share an anchor; content is a hash of them all, and windows
+    one of each, given at the first stretch of its content in a batch and null at others. anchor and content together are 128 bits.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             found, ids = [], batch.column("doc_id").to_numpy()
-            for rows, words, ends in together(batch, hashes, window):
-                start, text, at, runs, content = windows_of(words, ends, window, run)
-                begins = np.flatnonzero(np.diff(at, prepend=-1))
-                hit = _reached(runs[at[begins]], seen.value[0], bits)
-                if not hit.any():
+            for rows, froms, words, ends in together(batch, hashes, window):
+                runs, content = spans(words, run, window)
+                start, part = inside(ends, len(content), window)
+                some = np.flatnonzero(_reached(content[start], seen.value, bits))
+                if not len(some):
                     continue
+                start, part = start[some], part[some]
+                content, at = content[start], anchors(runs, window, run)[start]
+                begins = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(start, prepend=-2) != 1))
                 sizes = np.diff(np.append(begins, len(at)))
-                content = content[start]
-                if single:
-                    some = np.flatnonzero(np.repeat(hit, sizes))
-                    n, content = np.ones(len(some), np.int64), content[some]
-                else:
-                    with np.errstate(over="ignore"):
-                        places = (np.arange(len(at)) - np.repeat(begins, sizes)).astype(np.uint64)
-                        content = mixed(np.add.reduceat(mixed(content + places), begins) + sizes.astype(np.uint64))[hit]
-                    some, n = begins[hit], sizes[hit]
-                first = start[some] - np.concatenate(([0], ends))[text[some]]
-                found.append((runs[at[some]], content, ids[rows[text[some]]], first, n))
+                with np.errstate(over="ignore"):
+                    places = (np.arange(len(at)) - np.repeat(begins, sizes)).astype(np.uint64)
+                    whole = mixed(np.add.reduceat(mixed(content + places), begins) + sizes.astype(np.uint64))
+                owner = part[begins]
+                first = start[begins] - np.concatenate(([0], ends))[owner] + froms[owner]
+                found.append((runs[at[begins]], whole, ids[rows[owner]], first, sizes, content))
             if found:
-                a, c, d, s, n = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "content", "doc_id", "start", "n"])
+                a, c, d, s, n, w = (np.concatenate(x) for x in zip(*found))
+                new = np.zeros(len(c), bool)
+                new[np.unique(c, return_index=True)[1]] = True
+                offsets = np.concatenate(([0], np.cumsum(n * new))).astype(np.int32)
+                windows = pa.ListArray.from_buffers(pa.list_(pa.int64()), len(c), [pa.py_buffer(np.packbits(new, bitorder="little")), pa.py_buffer(offsets)], children=[pa.array(w[np.repeat(new, n)].view(np.int64))])
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), windows], ["anchor", "content", "doc_id", "start", "n", "windows"])
 
-    return docs.mapInArrow(find, "anchor long, content long, doc_id long, start int, n int")
+    return docs.mapInArrow(find, "anchor long, content long, doc_id long, start int, n int, windows array<long>")
 
 
-def _later(rows: DataFrame, first: DataFrame) -> DataFrame:
-    """(doc_id, start, n) of rows that aren't the first of their content."""
-    again = rows.join(first, ["anchor", "content"]).where(F.struct("doc_id", "start") > F.col("first"))
-    return again.select("doc_id", "start", "n")
+def _later(rows: DataFrame, first: DataFrame, keys: list[str]) -> DataFrame:
+    """(doc_id, start, n) of rows that aren't the first of their keys."""
+    return rows.join(first, keys).where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", "n")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
@@ -226,26 +237,26 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> D
     Earlier is a smaller doc_id, or an earlier start in the same document.
     """
     spark = docs.sparkSession
-    # About five bytes a word, and one word in seven begins an anchor: eight counters an anchor.
+    # About six bytes a word, and a window begins at each: two counters a window.
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(1, size / 40 * 8))))))
-    known = docs.where("doc_id is not null")
-    seen = spark.sparkContext.broadcast([sketch(anchor_hashes(docs, window, run), bits)])
+    bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(1, size / 6 * 2))))))
+    seen = spark.sparkContext.broadcast(sketch(docs, bits, window))
     # Hashes, not texts, are shuffled.
-    whole, whole_at = stored(stretches(known, seen, bits, window, run, single=False), "stretches")
-    first, first_at = stored(whole.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")), "contents")
-    copies, _ = stored(_later(whole, first.where("n > 1").select("anchor", "content", "first")), "repeats")
-
-    # An anchor with several contents: windows may be equal though their stretches aren't. A content counts once.
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().astype(np.int64).tobytes()], pa.binary())], ["hashes"])
-
-    edges = spark.sparkContext.broadcast([sketch(first.select("anchor").mapInArrow(packed, "hashes binary"), bits)])
-    single, single_at = stored(stretches(known, edges, bits, window, run, single=True), "windows")
-    opening = single.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("anchor", "content", "first")
-    parts, _ = stored(_later(single, opening), "repeats")
-    discard(spark, whole_at, first_at, single_at)
+    whole, whole_at = stored(stretches(docs.where("doc_id is not null"), seen, bits, window, run), "stretches")
+    seen.destroy()
+    place = F.struct("doc_id", "start")
+    contents = whole.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.count("*").alias("k"), F.first("windows", ignorenulls=True).alias("windows"))
+    contents, contents_at = stored(contents, "contents")
+    copies, _ = stored(_later(whole, contents.where("k > 1").select("anchor", "content", "first"), ["anchor", "content"]), "repeats")
+
+    # An anchor with several contents: windows may be equal though their stretches aren't.
+    several = contents.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1").select("anchor")
+    each = contents.join(several, "anchor", "left_semi").select("anchor", "first", F.posexplode("windows").alias("i", "window"))
+    each = each.select("anchor", "window", F.col("first.doc_id").alias("doc_id"), (F.col("first.start") + F.col("i")).alias("start"), F.lit(1).alias("n"))
+    single, single_at = stored(each, "windows")
+    opening = single.groupBy("anchor", "window").agg(F.min(place).alias("first"), F.count("*").alias("k")).where("k > 1").select("anchor", "window", "first")
+    parts, _ = stored(_later(single, opening, ["anchor", "window"]), "repeats")
+    discard(spark, whole_at, contents_at, single_at)
     return copies.union(parts)
 
 
@@ -254,8 +265,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Removes each word that a window of 20 consecutive words covers whose words also start earlier; windows are judged
     on the input. Words lie between ASCII white space; kept ones are joined by one space. Null and empty texts have no
-    words; texts of fewer words than a window, and rows without doc_id, lose nothing. Rows of one doc_id count as
-    one document.
+    words; texts of fewer words than a window, and rows without doc_id, lose nothing. Texts may have any length. Of
+    equal windows (ties) the one of smallest doc_id and start stays. Rows of one doc_id count as one document: a repeated
+    row is no earlier than itself, and all rows of the id lose the same places. No rows give no rows; other columns are dropped.
     """
     rows = docs.select("doc_id", text_bytes().alias("text"))
     starts = repeated_windows(rows, window).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("starts"))  # bounded by the document
@@ -264,16 +276,15 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, removed, kept = [], [], []
-            for words, starts in zip(word_lists(batch), batch.column("starts").to_pylist()):
+            for words, starts in zip(word_lists(batch), batch.column("starts")):
                 n.append(len(words))
-                if starts:
-                    steps = np.zeros(len(words) + 1, np.int64)
-                    at = np.array([(x["start"], x["start"] + x["n"] - 1 + window) for x in starts])
-                    at = at[at[:, 1] <= len(words)]
-                    np.add.at(steps, at[:, 0], 1)
-                    np.add.at(steps, at[:, 1], -1)
-                    stays = np.cumsum(steps[:-1]) == 0
-                    words = [w for w, s in zip(words, stays) if s]
+                if starts.is_valid:
+                    at, size = (starts.values.field(x).to_numpy() for x in ("start", "n"))
+                    steps, end = np.zeros(len(words) + 1, np.int64), at + size - 1 + window
+                    fits = end <= len(words)
+                    np.add.at(steps, at[fits], 1)
+                    np.add.at(steps, end[fits], -1)
+                    words = [words[i] for i in np.flatnonzero(np.cumsum(steps[:-1]) == 0)]
                 removed.append(n[-1] - len(words))
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])

@@ -43,6 +43,23 @@ def test_a_full_sketch_loses_nothing(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_long_texts_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(substring, "PIECE", 64), monkeypatch.setattr(substring, "TOGETHER", 200), monkeypatch.setattr(substring, "HELD", 100)
+    rng = np.random.default_rng(6)
+    shared = [f"s{x}" for x in rng.integers(0, 10**6, 300)]
+    rows = [(i, " ".join([f"w{x}" for x in rng.integers(0, 10**6, 37 * i)] + shared[i * 10 : 200 + i * 7] + ["x"] * (i * 9))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.without_repeats(docs).collect()}
+    assert got == brute(rows)
+
+
+def test_pieces_of_a_sketch():
+    cells = np.sort(np.random.default_rng(8).integers(0, 1 << 21, 5000)).astype(np.uint32)
+    back = np.concatenate([(s << 20) + substring.unpacked(memoryview(data), 20) for s, data in substring.packed(cells, 20)])
+    assert (back == cells).all()
+    assert [(s, substring.unpacked(memoryview(d), 17).tolist()) for s, d in substring.packed(np.array([5, 5, 1 << 16, 1 << 18], np.uint32), 17)] == [(0, [5, 5, 1 << 16]), (2, [0])]
+
+
 def test_anchors_move_with_their_window():
     rng = np.random.default_rng(3)
     runs = rng.integers(0, 50, 400).astype(np.uint64) << np.uint64(40)
