@@ -1,18 +1,17 @@
 """Removal of repeated passages: windows of words that start earlier elsewhere, found behind a count-min sketch.
 
-1. Each task sketches the windows of its partition: per row of the sketch, the counters that its windows touch. The
-   sketches are merged by segment. Counters stop at two, so what is kept is a bit per counter: whether it reached two.
-   Two rows overestimate every count.
-2. A second pass lets through only windows that are estimated repeated. Of the eight-word runs inside a window, the one of
-   smallest hash (leftmost of equals) is its anchor; windows of equal words have equal anchors at equal offsets. Windows
-   behind each other that share an anchor travel as one stretch. Stretches are grouped exactly by anchor and a hash of all
-   their words: of equal ones the first occurrence stays, later ones are repeated.
-3. Of an anchor with several different stretches, single windows may still be equal (where a passage ends). The windows of
-   its stretches are grouped one by one, each different stretch once, at its first occurrence. So each repeated window is
-   found, and copies don't multiply the rows.
-
-The sketch has a fixed bound (2^28 counters a row, 64 MB in all). Beyond what it can tell apart it lets more windows through
-to the exact grouping, in stretches of up to 13, but never loses one.
+1. Of the eight-word runs inside a window, the one of smallest hash (leftmost of equals) is its anchor. Windows of equal words
+   have equal anchors at equal offsets. A window's count is overestimated by one row of counters for windows, and by two
+   rows for anchors (each place once): the least of three counts. Each task sketches its partition, and the sketches are
+   merged by segment. Counters stop at two, so what is kept is a bit per counter: whether it reached two.
+2. A second pass lets through only windows that are estimated repeated. Those behind each other that share an anchor travel
+   as one stretch, with the hashes of its windows. Of equal stretches of a batch, only the first one needs a look; the
+   others are repeated for certain.
+3. Stretches are dealt by anchor and grouped exactly, by all their words and then, where an anchor has several different
+   stretches (where a passage ends), window by window. The first occurrence stays, later ones are repeated.
+
+The sketch has a fixed bound (2^29 counters, 64 MB). Beyond what it can tell apart it lets more windows through to the exact
+grouping, in stretches of up to 13, but never loses one.
 """
 
 from __future__ import annotations
@@ -24,14 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import WordHashes, discard, mixed, stored, text_bytes
+from siftwork.llm.common import WordHashes, mixed, stored, text_bytes
 
 WINDOW, RUN = 20, 8
-LEAST_BITS, MOST_BITS = 17, 28
-#: Counters are merged in segments of 2^SEGMENT_BITS; a piece of a task's sketch names them in blocks of 2^16.
-SEGMENT_BITS, BLOCK_BITS = 20, 16
-ROWS = 2
-HELD = 1 << 20  # windows whose counters a task holds before it sends pieces
+#: Twice 2^bits counters: a half for windows, a quarter for each row of anchors. They are merged in segments.
+LEAST_BITS, MOST_BITS, SEGMENT_BITS = 17, 28, 20
+HELD = 1 << 22  # windows whose counters a task holds before it sends pieces
 #: Words that are hashed together, and the most of one text: longer ones are taken in pieces that overlap by a window.
 TOGETHER, PIECE = 1 << 17, 1 << 20
 
@@ -107,67 +104,61 @@ def inside(ends: np.ndarray, n: int, window: int) -> tuple[np.ndarray, np.ndarra
     return start, part[start]
 
 
-def _cells(values: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The counter of each value in each row of the sketch."""
-    with np.errstate(over="ignore"):
-        return [(mixed(values + np.uint64(977 * (i + 1))) >> np.uint64(64 - bits)).astype(np.uint32) for i in range(ROWS)]
+def _window_cells(content: np.ndarray, bits: int) -> np.ndarray:
+    return (mixed(content) >> np.uint64(64 - bits)).astype(np.uint32)
 
 
-def packed(cells: np.ndarray, segment_bits: int) -> Iterator[tuple[int, bytes]]:
-    """Sorted counters, each twice at most, by segment: how many lie in each block of 2^16, and their places in it."""
-    blocks = 1 << max(0, segment_bits - BLOCK_BITS)
-    counts = np.bincount(cells >> np.uint32(BLOCK_BITS), minlength=blocks).astype(np.uint32)
-    counts = np.pad(counts, (0, -len(counts) % blocks)).reshape(-1, blocks)
-    ends, places = np.cumsum(counts.sum(1)), cells.astype(np.uint16)
-    for s in np.flatnonzero(counts.any(1)):
-        yield int(s), counts[s].tobytes() + places[ends[s] - counts[s].sum() : ends[s]].tobytes()
+def _anchor_cells(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The counters of anchors, in two rows behind those of windows."""
+    x = mixed(hashes)
+    return [(np.uint32(2 + i) << np.uint32(bits - 1)) + ((x << np.uint64(31 * i)) >> np.uint64(65 - bits)).astype(np.uint32) for i in range(2)]
 
 
-def unpacked(data: memoryview, segment_bits: int) -> np.ndarray:
-    """The counters of a piece, as places in its segment."""
-    blocks = 1 << max(0, segment_bits - BLOCK_BITS)
-    counts = np.frombuffer(data, np.uint32, blocks)
-    return (np.repeat(np.arange(blocks, dtype=np.int64), counts) << BLOCK_BITS) + np.frombuffer(data, np.uint16, offset=4 * blocks)
+def packed(cells: np.ndarray) -> np.ndarray:
+    """Sorted numbers as bytes: the gaps between them, 255 as far as a gap exceeds 254."""
+    gaps = np.diff(cells, prepend=cells[:0].dtype.type(0))
+    more = gaps // 255
+    out = np.full(len(gaps) + int(more.sum()), 255, np.uint8)
+    out[np.cumsum(more + 1) - 1] = gaps % 255
+    return out
 
 
-def sketch(texts: DataFrame, bits: int, window: int) -> np.ndarray:
-    """Of all windows of texts (as bytes), a bit per counter: whether it reached two. ROWS x 2^bits bits.
+def unpacked(data: np.ndarray) -> np.ndarray:
+    return np.cumsum(data, dtype=np.int64)[data != 255]
 
-    Tasks send the counters that they touched, which are merged by segment.
-    """
-    segment_bits = min(bits, SEGMENT_BITS)
-    segments = 1 << bits - segment_bits
-
-    def pieces_of(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        keys, data = [], []
-        for i, parts in enumerate(held):
-            cells = np.sort(np.concatenate(parts))
-            cells = cells[np.concatenate((np.ones(min(2, len(cells)), bool), cells[2:] != cells[:-2]))]
-            for s, piece in packed(cells, segment_bits):
-                keys.append(i * segments + s)
-                data.append(piece)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(data, pa.binary())], ["piece", "cells"])
+
+def sketch(texts: DataFrame, bits: int, window: int, run: int) -> np.ndarray:
+    """Of all windows of texts (as bytes), a bit per counter: whether it reached two. Tasks send the counters that they touched."""
+    segment = min(bits, SEGMENT_BITS)
+
+    def pieces_of(held: list[np.ndarray]) -> pa.RecordBatch:
+        cells = np.sort(np.concatenate(held))
+        cells = cells[np.concatenate((np.ones(min(2, len(cells)), bool), cells[2:] != cells[:-2]))]
+        own = cells >> np.uint32(segment)
+        begins = np.flatnonzero(np.diff(own, prepend=own[:1] + np.uint32(1)))
+        data = [packed(part & np.uint32((1 << segment) - 1)).tobytes() for part in np.split(cells, begins[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(own[begins].astype(np.int32)), pa.array(data, pa.binary())], ["piece", "cells"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = WordHashes(), [[] for _ in range(ROWS)], 0
+        hashes, held, size = WordHashes(), [], 0
         for batch in batches:
             for _, _, words, ends in together(batch, hashes, window):
-                (content,) = spans(words, window)
+                runs, content = spans(words, run, window)
                 start, _ = inside(ends, len(content), window)
-                for own, cells in zip(held, _cells(content[start], bits)):
-                    own.append(cells)
+                at = anchors(runs, window, run)[start]
+                held += [_window_cells(content[start], bits), *_anchor_cells(runs[at[np.flatnonzero(np.diff(at, prepend=-1))]], bits)]
                 size += len(start)
                 if size > HELD:
-                    yield from pieces_of(held)
-                    held, size = [[] for _ in range(ROWS)], 0
+                    yield pieces_of(held)
+                    held, size = [], 0
         if size:
-            yield from pieces_of(held)
+            yield pieces_of(held)
 
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(1 << segment_bits, bool), np.zeros(1 << segment_bits, bool)
+        once, twice = np.zeros(1 << segment, bool), np.zeros(1 << segment, bool)
         for batch in batches:
             for data in batch.column("cells"):
-                cells = unpacked(data.as_buffer(), segment_bits)
+                cells = unpacked(np.frombuffer(data.as_buffer(), np.uint8))
                 twice[cells[once[cells]]] = True
                 twice[cells[1:][cells[1:] == cells[:-1]]] = True
                 once[cells] = True
@@ -175,24 +166,38 @@ def sketch(texts: DataFrame, bits: int, window: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(twice).tobytes()], pa.binary())], ["piece", "bits"])
 
     merged = texts.select("text").mapInArrow(count, "piece int, cells binary").groupBy("piece").applyInArrow(merge, "piece int, bits binary")
-    out = np.zeros((ROWS * segments, (1 << segment_bits) // 8), np.uint8)
-    for r in merged.collect():  # a bounded sketch: ROWS x 2^MOST_BITS bits at most
+    out = np.zeros((1 << bits + 1 - segment, (1 << segment) // 8), np.uint8)
+    for r in merged.collect():  # a bounded sketch: 2^(MOST_BITS + 1) bits at most
         out[r["piece"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.reshape(ROWS, -1)
+    return out.reshape(-1)
 
 
-def _reached(values: np.ndarray, seen: np.ndarray, bits: int) -> np.ndarray:
-    out = np.ones(len(values), bool)
-    for row, cells in zip(seen, _cells(values, bits)):
-        out &= (row[cells >> np.uint32(3)] >> (7 - (cells & np.uint32(7))).astype(np.uint8) & 1).astype(bool)
-    return out
+def _reached(cells: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    return (seen[cells >> np.uint32(3)] >> (7 - (cells & np.uint32(7))).astype(np.uint8) & 1).astype(bool)
+
+
+def _first_of(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first) by columns, the last two of which are doc_id and start: whether a row is the first of equal other columns."""
+    order = np.lexsort(columns[::-1])
+    new = np.ones(len(order), bool)
+    if len(order) > 1:
+        new[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns[:-2]], axis=0)
+    return order, new
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray, given: np.ndarray) -> pa.Array:
+    """Lists of so many values each; null and without values where not given."""
+    offsets = np.concatenate(([0], np.cumsum(sizes * given))).astype(np.int32)
+    valid = pa.py_buffer(np.packbits(given, bitorder="little"))
+    return pa.ListArray.from_buffers(pa.list_(pa.int64()), len(sizes), [valid, pa.py_buffer(offsets)], children=[pa.array(values[np.repeat(given, sizes)].view(np.int64))])
 
 
 def stretches(docs: DataFrame, seen, bits: int, window: int, run: int) -> DataFrame:
-    """(anchor, content, doc_id, start, n, windows) of the windows that seen marks, in stretches.
+    """(key, content, doc_id, start, n, windows) of the windows that seen marks, in stretches.
 
-    A stretch is n windows of a document behind each other that share an anchor; content is a hash of them all, and windows
-    one of each, given at the first stretch of its content in a batch and null at others. anchor and content together are 128 bits.
+    A stretch is n windows of a document behind each other that share an anchor, the key; content is a hash of them all,
+    and windows one of each. A stretch that isn't the first of its content in a batch has no windows; its key is of no use but to
+    spread such rows.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,62 +207,92 @@ def stretches(docs: DataFrame, seen, bits: int, window: int, run: int) -> DataFr
             for rows, froms, words, ends in together(batch, hashes, window):
                 runs, content = spans(words, run, window)
                 start, part = inside(ends, len(content), window)
-                some = np.flatnonzero(_reached(content[start], seen.value, bits))
+                at = anchors(runs, window, run)[start]
+                places = np.flatnonzero(np.diff(at, prepend=-1))
+                first, second = _anchor_cells(runs[at[places]], bits)
+                marked = _reached(first, seen.value) & _reached(second, seen.value)
+                some = np.flatnonzero(np.repeat(marked, np.diff(np.append(places, len(at)))))
+                some = some[_reached(_window_cells(content[start[some]], bits), seen.value)]
                 if not len(some):
                     continue
-                start, part = start[some], part[some]
-                content, at = content[start], anchors(runs, window, run)[start]
+                start, part, at = start[some], part[some], at[some]
+                content = content[start]
                 begins = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(start, prepend=-2) != 1))
                 sizes = np.diff(np.append(begins, len(at)))
                 with np.errstate(over="ignore"):
-                    places = (np.arange(len(at)) - np.repeat(begins, sizes)).astype(np.uint64)
-                    whole = mixed(np.add.reduceat(mixed(content + places), begins) + sizes.astype(np.uint64))
+                    order = (np.arange(len(at)) - np.repeat(begins, sizes)).astype(np.uint64)
+                    whole = mixed(np.add.reduceat(mixed(content + order), begins) + sizes.astype(np.uint64))
                 owner = part[begins]
-                first = start[begins] - np.concatenate(([0], ends))[owner] + froms[owner]
-                found.append((runs[at[begins]], whole, ids[rows[owner]], first, sizes, content))
+                place = start[begins] - np.concatenate(([0], ends))[owner] + froms[owner]
+                found.append((runs[at[begins]], whole, ids[rows[owner]], place, sizes, content))
             if found:
                 a, c, d, s, n, w = (np.concatenate(x) for x in zip(*found))
-                new = np.zeros(len(c), bool)
-                new[np.unique(c, return_index=True)[1]] = True
-                offsets = np.concatenate(([0], np.cumsum(n * new))).astype(np.int32)
-                windows = pa.ListArray.from_buffers(pa.list_(pa.int64()), len(c), [pa.py_buffer(np.packbits(new, bitorder="little")), pa.py_buffer(offsets)], children=[pa.array(w[np.repeat(new, n)].view(np.int64))])
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), windows], ["anchor", "content", "doc_id", "start", "n", "windows"])
+                order, new = _first_of(a, c, d, s)
+                given = np.zeros(len(a), bool)
+                given[order[new]] = True
+                key = np.where(given, a, mixed(d.astype(np.uint64) + c))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), _lists(w, n, given)], ["key", "content", "doc_id", "start", "n", "windows"])
 
-    return docs.mapInArrow(find, "anchor long, content long, doc_id long, start int, n int, windows array<long>")
+    return docs.mapInArrow(find, "key long, content long, doc_id long, start int, n int, windows array<long>")
 
 
-def _later(rows: DataFrame, first: DataFrame, keys: list[str]) -> DataFrame:
-    """(doc_id, start, n) of rows that aren't the first of their keys."""
-    return rows.join(first, keys).where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", "n")
+def _later(key: np.ndarray, content: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc_id, start, n) of the windows of whole groups of one anchor that aren't the first of their words."""
+    order, new = _first_of(key, content, doc, start)
+    again, kept = order[~new], order[new]
+    # An anchor with several contents: windows may be equal though their stretches aren't.
+    own = key[kept]
+    same = own[1:] == own[:-1]
+    kept = kept[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(kept) else kept
+    ends = np.cumsum(n)
+    sizes = n[kept]
+    inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    each = np.repeat(kept, sizes)
+    w, d, s = windows[(ends - n)[each] + inner], doc[each], start[each] + inner
+    order, new = _first_of(key[each], w, d, s)
+    single = order[~new]
+    return np.concatenate((doc[again], d[single])), np.concatenate((start[again], s[single])), np.concatenate((n[again], np.ones(len(single), n.dtype)))
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
     """(doc_id, start, n): stretches of n windows of docs (doc_id, text as bytes) that also start earlier.
 
-    Earlier is a smaller doc_id, or an earlier start in the same document.
+    Earlier is a smaller doc_id, or an earlier start in the same document. Hashes, not texts, are shuffled.
     """
     spark = docs.sparkSession
-    # About six bytes a word, and a window begins at each: two counters a window.
+    # Near seven bytes a word, and a window begins at each.
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(1, size / 6 * 2))))))
-    seen = spark.sparkContext.broadcast(sketch(docs, bits, window))
-    # Hashes, not texts, are shuffled.
-    whole, whole_at = stored(stretches(docs.where("doc_id is not null"), seen, bits, window, run), "stretches")
-    seen.destroy()
-    place = F.struct("doc_id", "start")
-    contents = whole.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.count("*").alias("k"), F.first("windows", ignorenulls=True).alias("windows"))
-    contents, contents_at = stored(contents, "contents")
-    copies, _ = stored(_later(whole, contents.where("k > 1").select("anchor", "content", "first"), ["anchor", "content"]), "repeats")
+    bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(1, size / 6.6 * 1.5))))))
+    seen = spark.sparkContext.broadcast(sketch(docs, bits, window, run))
+    dealt = stretches(docs.where("doc_id is not null"), seen, bits, window, run).repartition("key").sortWithinPartitions("key")
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = ["doc_id", "start", "n"]
+        held: list[pa.RecordBatch] = []  # rows of the last key, which may go on in the next batch
+
+        def done(rows: pa.Table) -> pa.RecordBatch:
+            rows = rows.combine_chunks().to_batches()[0]
+            known = rows.filter(rows.column("windows").is_null())
+            rows = rows.filter(rows.column("windows").is_valid())
+            k, c, d, s, n = (rows.column(x).to_numpy(zero_copy_only=False) for x in ("key", "content", "doc_id", "start", "n"))
+            got = _later(k, c, d, s, n, rows.column("windows").flatten().to_numpy(zero_copy_only=False))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate((known.column(x).to_numpy(zero_copy_only=False), y)), t) for x, y, t in zip(schema, got, (pa.int64(), pa.int32(), pa.int32()))], schema)
 
-    # An anchor with several contents: windows may be equal though their stretches aren't.
-    several = contents.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1").select("anchor")
-    each = contents.join(several, "anchor", "left_semi").select("anchor", "first", F.posexplode("windows").alias("i", "window"))
-    each = each.select("anchor", "window", F.col("first.doc_id").alias("doc_id"), (F.col("first.start") + F.col("i")).alias("start"), F.lit(1).alias("n"))
-    single, single_at = stored(each, "windows")
-    opening = single.groupBy("anchor", "window").agg(F.min(place).alias("first"), F.count("*").alias("k")).where("k > 1").select("anchor", "window", "first")
-    parts, _ = stored(_later(single, opening, ["anchor", "window"]), "repeats")
-    discard(spark, whole_at, contents_at, single_at)
-    return copies.union(parts)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column("key").to_numpy()
+            last = int(np.searchsorted(keys, keys[-1]))
+            if last or held and held[-1].column("key")[0].as_py() != keys[0]:
+                yield done(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield done(pa.Table.from_batches(held))
+
+    out, _ = stored(dealt.mapInArrow(solve, "doc_id long, start int, n int"), "repeats")
+    seen.destroy()
+    return out
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
