@@ -7,11 +7,12 @@ second over distinct tokens.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # Characters and words with a meaning in matching.
 ZERO_WIDTH = "​‌‍‎‏﻿­"
@@ -48,6 +49,11 @@ SENTENCE_END = r"(?<=[।.!?‼])\s+|\n+"
 FUSED_NEGATION = "^.+(?:ে|া|ন|য়|য়)নি$"
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once: what a lambda names from outside would be worked out for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def nfc_words(words: tuple[str, ...]) -> list[str]:
     return [unicodedata.normalize("NFC", w) for w in words]
 
@@ -58,8 +64,8 @@ def _nfc(text: pd.Series) -> pd.Series:
 
 
 def nfc(text: Column) -> Column:
-    """Canonical composition; ASCII rows are left as they are."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _nfc(text)).otherwise(text)
+    """Canonical composition; ASCII rows are left as they are, and Python sees null in their place."""
+    return F.coalesce(_nfc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def collapse(text: Column) -> Column:
@@ -111,8 +117,12 @@ def is_number(token: Column) -> Column:
 
 def content_tokens(text: Column, compose: bool = True) -> Column:
     """Tokens that carry meaning: negations, qualifiers, numbers, and others of two letters or more but stop words."""
+    return content_of(tokens(text, compose))
+
+
+def content_of(words: Column) -> Column:
     plain = lambda t: ~t.isin(nfc_words(STOPWORDS)) & (F.length(t) >= 2)
-    return F.filter(tokens(text, compose), lambda t: is_negation(t) | is_qualifier(t) | is_number(t) | plain(t))
+    return F.filter(words, lambda t: is_negation(t) | is_qualifier(t) | is_number(t) | plain(t))
 
 
 def sentences(text: Column, shortest: int = 8) -> Column:
@@ -191,6 +201,32 @@ def _stem(token: pd.Series) -> pd.Series:
     return token.map({t: stem(t) for t in token.dropna().unique()})
 
 
+def _bengali_only(udf, words: Column) -> Column:
+    """udf(words) for arrays with Bengali letters; Python sees null in the place of the others, which get null."""
+    return udf(F.when(F.exists(words, lambda t: t.rlike(r"[ঀ-৿]")), words))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _stem_lists(words: pd.Series) -> pd.Series:
+    known: dict[str, str] = {}
+    return words.map(lambda all_: None if all_ is None else [known.get(t) or known.setdefault(t, stem(t)) for t in all_])
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _stem_keys(words: pd.Series) -> pd.Series:
+    return words.map(lambda all_: None if all_ is None else list(dict.fromkeys([*map(stem, all_), *(stem(a + b) for a, b in zip(all_, all_[1:]))])))
+
+
+def stem_list(words: Column) -> Column:
+    """The stem of each token, in order; words should be a column, not a long expression."""
+    return F.coalesce(_bengali_only(_stem_lists, words), words)
+
+
+def stem_keys(words: Column) -> Column:
+    """The stems of tokens and of neighbouring tokens joined, where they may differ from the tokens; else empty."""
+    return F.coalesce(_bengali_only(_stem_keys, words), F.array().cast("array<string>"))
+
+
 def stems(words: DataFrame, column: str = "token") -> DataFrame:
     """words with stem: Python sees each distinct token with Bengali letters once."""
     distinct = words.where(F.col(column).rlike(r"[ঀ-৿]")).select(column).distinct().withColumn("_stem", _stem(column))

@@ -91,77 +91,83 @@ def ag_term_frequencies(spark, d):
     return per.groupBy("term").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences")).orderBy(F.desc("documents"), "term").limit(300)
 
 
-# Pairs: each benchmark item against the documents of one key, so that pairs grow with the tables.
-_PAIRS = "(SELECT item_id, doc_id, b.text AS claim, d.text AS source FROM benchmark b JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id)"
-
-
 def _tok(column: str) -> str:
     return _TOKENS.replace("nfc_normalize(text)", f"nfc_normalize({column})")
 
 
+def _runs(words: str) -> str:
+    return f"list_distinct(list_transform(range(1, greatest(len({words}) - 4, 1) + 1), lambda k: array_to_string({words}[k:k + 4], ' ')))"
+
+
+# Pairs: a benchmark item and a document that share a run of five tokens.
+_PAIRS = f"""(WITH i AS (SELECT item_id, text AS claim, {_tok("text")} AS a FROM benchmark), d AS (SELECT doc_id, text AS source, {_tok("text")} AS b FROM documents),
+  linked AS (SELECT DISTINCT item_id, doc_id FROM (SELECT item_id, unnest({_runs("a")}) AS run FROM i WHERE len(a) > 0) JOIN (SELECT doc_id, unnest({_runs("b")}) AS run FROM d WHERE len(b) > 0) USING (run))
+  SELECT item_id, doc_id, claim, source, a, b FROM linked JOIN i USING (item_id) JOIN d USING (doc_id))"""
+
+
 def pairs(spark, d):
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("claim"))
-    count = items.agg(F.count("*").alias("items"))
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("source")).crossJoin(F.broadcast(count))  # one row
-    return docs.withColumn("item_id", F.col("doc_id") % F.col("items")).join(items, "item_id").select("item_id", "doc_id", "claim", "source")
+    """item_id, doc_id, claim, source and their tokens a and b."""
+    items, docs = table(spark, d, "benchmark").select("item_id", F.col("text").alias("claim")), table(spark, d, "documents").select("doc_id", F.col("text").alias("source"))
+    words = lambda rows, key, column: rows.select(key, text.tokens(F.col(column)).alias("words"))
+    linked = similarity.sharing_runs(words(items, "item_id", "claim"), words(docs, "doc_id", "source"), "item_id", "doc_id")
+    rows = linked.join(items, "item_id").join(docs, "doc_id")
+    return rows.select("item_id", "doc_id", "claim", "source", text.tokens(F.col("claim")).alias("a"), text.tokens(F.col("source")).alias("b"))
 
 
 @query(f"""SELECT item_id, doc_id, round(len(list_intersect(list_distinct(a), list_distinct(b)))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS jaccard
-  FROM (SELECT item_id, doc_id, {_tok("claim")} AS a, {_tok("source")} AS b FROM {_PAIRS}) WHERE len(a) > 0 AND len(b) > 0""")
+  FROM {_PAIRS}""")
 def st_jaccard_tokens(spark, d):
-    rows = pairs(spark, d).select("item_id", "doc_id", text.tokens(F.col("claim")).alias("a"), text.tokens(F.col("source")).alias("b"))
-    return rows.select("item_id", "doc_id", F.round(similarity.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard")).where("jaccard is not null")
+    return pairs(spark, d).select("item_id", "doc_id", F.round(similarity.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
 
-@query(f"""SELECT item_id, doc_id, list_has_any(a, b) AS overlaps, len(list_filter(list_distinct(a), lambda x: NOT list_contains(b, x))) AS only_claim
-  FROM (SELECT item_id, doc_id, {_tok("claim")} AS a, {_tok("source")} AS b FROM {_PAIRS})""")
+@query(f"SELECT item_id, doc_id, list_has_any(a, b) AS overlaps, len(list_filter(list_distinct(a), lambda x: NOT list_contains(b, x))) AS only_claim FROM {_PAIRS}")
 def st_overlap(spark, d):
-    rows = pairs(spark, d).select("item_id", "doc_id", text.tokens(F.col("claim")).alias("a"), text.tokens(F.col("source")).alias("b"))
-    return rows.select("item_id", "doc_id", F.arrays_overlap("a", "b").alias("overlaps"), F.size(F.array_except("a", "b")).cast("long").alias("only_claim"))
+    return pairs(spark, d).select("item_id", "doc_id", F.arrays_overlap("a", "b").alias("overlaps"), F.size(F.array_except("a", "b")).cast("long").alias("only_claim"))
 
 
 _PLAIN_STOP = ", ".join(f"'{w}'" for w in text.nfc_words(text.STOPWORDS))
 _HEAVY = ", ".join(f"'{w}'" for w in text.nfc_words(text.NEGATIONS + sum(text.QUALIFIERS.values(), ())))
 
 
-def _content(column: str) -> str:
-    return f"list_filter({_tok(column)}, lambda t: t IN ({_HEAVY}) OR regexp_full_match(t, '[0-9][0-9.,]*') OR (t NOT IN ({_PLAIN_STOP}) AND length(t) >= 2))"
+def _content(words: str) -> str:
+    return f"list_filter({words}, lambda t: t IN ({_HEAVY}) OR regexp_full_match(t, '[0-9][0-9.,]*') OR (t NOT IN ({_PLAIN_STOP}) AND length(t) >= 2))"
 
 
-@query(f"""WITH p AS (SELECT item_id, doc_id, {_content("claim")} AS a, {_content("source")} AS b FROM {_PAIRS}),
+@query(f"""WITH p AS (SELECT item_id, doc_id, {_content("a")} AS a, {_content("b")} AS b FROM {_PAIRS}),
   x AS (SELECT item_id, doc_id, term, count(*) FILTER (WHERE side = 0) AS n, count(*) FILTER (WHERE side = 1) AS m FROM
     (SELECT item_id, doc_id, 0 AS side, unnest(a) AS term FROM p UNION ALL SELECT item_id, doc_id, 1, unnest(b) FROM p) GROUP BY 1, 2, 3),
   w AS (SELECT *, CASE WHEN n > 0 AND m > 0 THEN 1.0::DOUBLE ELSE ln(1.5::DOUBLE) + 1 END AS idf FROM x)
   SELECT item_id, doc_id, round(sum(n * m * idf * idf) / (sqrt(sum(n * n * idf * idf)) * sqrt(sum(m * m * idf * idf))), 6) AS cosine FROM w
   GROUP BY 1, 2 HAVING sum(n) > 0 AND sum(m) > 0""")
 def ta_tfidf_cosine(spark, d):
-    rows = pairs(spark, d).select("item_id", "doc_id", text.content_tokens(F.col("claim")).alias("a"), text.content_tokens(F.col("source")).alias("b"))
-    sides = rows.select("item_id", "doc_id", F.explode(F.concat(F.transform("a", lambda t: F.struct(t.alias("term"), F.lit(0).alias("side"))), F.transform("b", lambda t: F.struct(t.alias("term"), F.lit(1).alias("side"))))).alias("x"))
-    counts = sides.groupBy("item_id", "doc_id", "x.term").agg(F.count_if(F.col("x.side") == 0).alias("n"), F.count_if(F.col("x.side") == 1).alias("m"))
-    idf = F.when((F.col("n") > 0) & (F.col("m") > 0), F.lit(1.0)).otherwise(F.log(F.lit(1.5)) + 1)
-    total = lambda a, b: F.sum(F.col(a) * F.col(b) * idf * idf)
-    sums = counts.groupBy("item_id", "doc_id").agg(total("n", "m").alias("nm"), total("n", "n").alias("nn"), total("m", "m").alias("mm"))
-    return sums.where("nn > 0 and mm > 0").select("item_id", "doc_id", F.round(F.col("nm") / (F.sqrt("nn") * F.sqrt("mm")), 6).alias("cosine"))
+    rows = pairs(spark, d).select("item_id", "doc_id", text.content_of(F.col("a")).alias("a"), text.content_of(F.col("b")).alias("b"))
+    return similarity.tfidf_cosines(rows, ["item_id", "doc_id"], "a", "b").withColumn("cosine", F.round("cosine", 6))
 
 
-@query(f"""WITH p AS (SELECT item_id, doc_id, list_distinct({_content("claim")}) AS a, {_tok("source")} AS b FROM {_PAIRS}),
+@query(f"""WITH p AS (SELECT item_id, doc_id, list_distinct({_content("a")}) AS a, b FROM {_PAIRS}),
   k AS (SELECT *, list_concat(b, list_transform(list_zip(b[1:-2], b[2:]), lambda z: z[1] || z[2])) AS keys FROM p),
   u AS (SELECT item_id, doc_id, unnest(a) AS t, keys FROM k)
   SELECT item_id, doc_id, round(sum(CASE WHEN list_contains(keys, t) THEN w ELSE 0 END) / sum(w), 6) AS coverage FROM
     (SELECT *, CASE WHEN t IN ({_HEAVY}) OR regexp_full_match(t, '[0-9][0-9.,]*') THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS w FROM u) GROUP BY 1, 2""")
 def ta_keyword_coverage(spark, d):
-    rows = pairs(spark, d).select("item_id", "doc_id", similarity.units(text.content_tokens(F.col("claim"))).alias("u"), similarity.evidence_keys(text.tokens(F.col("source"))).alias("keys"))
-    return rows.select("item_id", "doc_id", F.round(similarity.coverage(F.col("u"), F.col("keys")), 6).alias("coverage")).where("coverage is not null")
+    rows = pairs(spark, d).select("item_id", "doc_id", text.content_of(F.col("a")).alias("a"), "b")
+    rows = rows.select("item_id", "doc_id", similarity.units(F.col("a"), text.stem_list(F.col("a"))).alias("units"), similarity.evidence_keys(F.col("b")).alias("keys"))
+    return rows.where(F.size("units") > 0).select("item_id", "doc_id", F.round(similarity.coverage(F.col("units"), F.col("keys")), 6).alias("coverage"))
+
+
+# DuckDB counts edits of bytes: the letters beyond ASCII that the texts have stand as control characters, one byte each.
+_ACCENTED = "óñÓíÑÍÊéèêçÈÉÇößäüÖÜÄ"
+_ONE_BYTE = "".join(map(chr, [*range(1, 9), *range(14, 27)]))
+
+
+def _edit_form(column: str) -> str:
+    return rf"translate(trim(regexp_replace(nfc_normalize({column}), '\s+', ' ', 'g'))[1:20000], '{_ACCENTED}', '{_ONE_BYTE}')"
 
 
-@query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')),
-  p AS (SELECT a.doc_id, a.t[1:200] AS x, b.t[1:200] AS y FROM t a JOIN t b ON b.doc_id = a.doc_id + 1)
-  SELECT doc_id, round(1 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y)), 6) AS similarity FROM p WHERE x <> '' AND y <> ''""")
+@query(f"""SELECT item_id, doc_id, round(1 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y)), 6) AS similarity
+  FROM (SELECT item_id, doc_id, {_edit_form("claim")} AS x, {_edit_form("source")} AS y FROM {_PAIRS})""")
 def tx_levenshtein_norm(spark, d):
-    ascii_ = table(spark, d, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", "text")
-    joined = ascii_.join(ascii_.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next")), "doc_id")
-    value = similarity.edit_similarity(F.col("text"), F.col("next"), 200)
-    return joined.select("doc_id", F.round(value, 6).alias("similarity")).where("similarity is not null")
+    return pairs(spark, d).select("item_id", "doc_id", F.round(similarity.edit_similarity(F.col("claim"), F.col("source")), 6).alias("similarity"))
 
 
 @query("SELECT doc_id, CASE WHEN first < doc_id THEN first END AS duplicate_of, h AS content_hash FROM (SELECT doc_id, sha256(text) AS h, min(doc_id) OVER (PARTITION BY sha256(text)) AS first FROM documents)")
