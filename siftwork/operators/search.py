@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.functions.text import split_query
+from siftwork.functions.text import spellings, split_query
 
 
 def all_of(*conditions: Column | None) -> Column:
@@ -16,8 +16,8 @@ def all_of(*conditions: Column | None) -> Column:
 
 
 def holds(text: Column, term: str) -> Column:
-    """Whether a text holds a term, whatever the case; % and _ stand for themselves."""
-    return F.contains(F.lower(text), F.lit(term.lower()))
+    """Whether a text holds a term in any of its spellings, whatever the case; % and _ stand for themselves."""
+    return reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(t.lower())) for t in spellings(term)])
 
 
 class KeywordSearch:
