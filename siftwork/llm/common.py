@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir; where that is unset, a temporary one in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder for intermediate tables")
         folder = f"file://{tempfile.mkdtemp(prefix='siftwork-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -89,11 +91,28 @@ def shingles(h: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
         return mixed(sums)
 
 
-def connected_components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+#: A key with this part of all rows is hot; there can be no more than its inverse of them.
+HOT_SHARE = 1000
+
+
+def left_join_hot(rows: DataFrame, small: DataFrame, key: str, weight: str) -> DataFrame:
+    """rows.join(small, key, "left") for a small with one row per key, weight being its number of rows (its column is left out).
+
+    Keys that hold a thousandth of all rows or more are at most a thousand, so these rows of small are broadcast, and no
+    task gets all rows of one key; the other keys are shuffled. Both tables are read more than once and should be stored.
+    """
+    total = small.agg(F.sum(weight)).first()[0] or 0
+    is_hot = F.col(weight) * HOT_SHARE >= total
+    hot = F.broadcast(small.where(is_hot).drop(weight))  # HOT_SHARE rows at most
+    cold = rows.join(hot.select(key), key, "left_anti").join(small.where(~is_hot).drop(weight), key, "left")
+    return rows.join(hot, key).unionByName(cold)
+
+
+def connected_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(id, component) of every vertex of edges (a, b): component is the smallest id reachable.
 
     Alternating large and small stars: each round replaces every link by a link to the smallest neighbour, until no
-    link changes. Only per-vertex minima are aggregated, so that a vertex with very many links is combined before the
+    link changes (a few times the logarithm of the longest path: rounds is far beyond any). Only per-vertex minima are aggregated, so that a vertex with very many links is combined before the
     shuffle; the joins back to the links may be split by adaptive execution.
     """
     spark, paths = edges.sparkSession, []

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import discard, stored
+from siftwork.llm.common import discard, left_join_hot, stored
 
 SHARDS, ROUNDS, BUCKETS, SEED = 24, 6, 256, 17
 
@@ -37,7 +37,7 @@ def propagate(linked: DataFrame, quota: list[int], rounds: int = ROUNDS) -> Data
         tie = F.xxhash64("link", "shard", F.lit(SEED))
         # The shard with most of the group; of equal ones, a seeded choice that all members share.
         best = counts.groupBy("link").agg(F.sum("n").alias("size"), F.max(F.struct("n", tie.alias("tie"), "shard")).alias("best"))
-        wanted = best.select("link", F.col("best.shard").alias("to"), (F.col("size") - F.col("best.n")).alias("moving")).where("moving > 0")
+        wanted = best.select("link", F.col("best.shard").alias("to"), (F.col("size") - F.col("best.n")).alias("moving"), "size").where("moving > 0")
         # A group that is refused tries another shard in the next round: by rotating among those with room.
         if step:
             open_ = [i for i in range(shards) if free[i] > 0]
@@ -47,7 +47,7 @@ def propagate(linked: DataFrame, quota: list[int], rounds: int = ROUNDS) -> Data
             full = F.array(*[F.lit(free[i] == 0) for i in range(shards)])
             blocked = best.select("link", F.col("best.shard").alias("to"), "size", F.col("best.n").alias("n")).where("size > n")
             gone = F.element_at(full, F.col("to") + 1)
-            wanted = blocked.select("link", F.when(gone, spread).otherwise(F.col("to")).alias("to"), F.when(gone, F.col("size")).otherwise(F.col("size") - F.col("n")).alias("moving"))
+            wanted = blocked.select("link", F.when(gone, spread).otherwise(F.col("to")).alias("to"), F.when(gone, F.col("size")).otherwise(F.col("size") - F.col("n")).alias("moving"), "size")
         asked, asked_at = stored(wanted.withColumn("bucket", _bucket("link", F.lit(step))), "wanted")
         sums = asked.groupBy("to", "bucket").agg(F.sum("moving").alias("moving")).orderBy("to", "bucket").collect()  # shards x buckets at most
         granted, left = [], list(free)
@@ -60,8 +60,8 @@ def propagate(linked: DataFrame, quota: list[int], rounds: int = ROUNDS) -> Data
             discard(spark, asked_at)
             break
         may = spark.createDataFrame(granted, "to int, bucket int, part double")
-        grants = asked.join(F.broadcast(may), ["to", "bucket"]).select("link", "to", "part", "moving")  # shards x buckets rows
-        moved = now.join(grants, "link", "left")
+        grants = asked.join(F.broadcast(may), ["to", "bucket"]).select("link", "to", "part", "moving", "size")  # shards x buckets rows
+        moved = left_join_hot(now, grants, "link", "size")
         # Of a bucket with too many rows, small groups wait for the next round; of a group that no shard can hold, as
         # many rows go as fit on average, and counts are made exact later.
         large = F.col("moving") > max(1, quota[0] // 4)
@@ -100,7 +100,8 @@ def balanced_shards(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     placed, placed_at = stored(linked.union(single), "placed")
     # Linked rows come first, so that rows beyond a quota are single ones as far as there are any.
     spread = F.col("rest") * BUCKETS + _bucket("row_id", F.lit(SEED + 1))
-    slots, slots_at = stored(numbered(placed, "shard", F.struct(F.xxhash64("row_id"), F.col("row_id")), spread), "slots")
+    slots, _ = stored(numbered(placed, "shard", F.struct(F.xxhash64("row_id"), F.col("row_id")), spread), "slots")
+    discard(spark, placed_at)
     held = {r["shard"]: r["n"] for r in slots.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     over, to, gaps = 0, 0, []
     for i in range(shards):
@@ -125,14 +126,16 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
 
     The law is `rows`: shard counts are at most one apart. Linked are documents of equal text (null texts with each
     other, empty ones too). Null texts have size 8 and the checksum of no bytes. Rows that repeat a doc_id and its text
-    are told apart by a running number; a null doc_id is a value like another.
+    are told apart by a running number; a null doc_id is a value like another. Texts of any length count by size and
+    digest only; ties are broken by hashes of the rows. No rows give no rows; other columns are dropped.
     """
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.md5(F.concat(body, F.when(F.col("text").isNull(), F.lit("-")).otherwise(F.lit("+")).cast("binary"))).alias("digest"))
     copy = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy(F.lit(0)))
-    base, _ = stored(rows.withColumn("copy", copy), "rows")
-    shared = base.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest", F.lit(True).alias("linked"))
-    keyed = base.join(shared, "digest", "left").select(F.struct("doc_id", "copy", "size", "text_crc32", "digest").alias("row_id"), F.when(F.col("linked"), F.col("digest")).alias("link"))
+    base, base_at = stored(rows.withColumn("copy", copy), "rows")
+    shared, shared_at = stored(base.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest", "n", F.lit(True).alias("linked")), "shared")
+    keyed = left_join_hot(base, shared, "digest", "n").select(F.struct("doc_id", "copy", "size", "text_crc32", "digest").alias("row_id"), F.when(F.col("linked"), F.col("digest")).alias("link"))
     kept, _ = stored(keyed, "keyed")
+    discard(docs.sparkSession, base_at, shared_at)
     out = balanced_shards(kept, shards, rounds)
     return out.select("row_id.doc_id", "row_id.size", "row_id.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
