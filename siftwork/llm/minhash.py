@@ -8,8 +8,11 @@
    (1 - 0.8^4)^32 = 5e-8. In a bucket, members are compared with leaders, not with each other.
 4. The Jaccard estimate, corrected for chance collisions of registers, discards pairs more than five standard
    deviations below the threshold; the rest is confirmed on the full sets.
-5. Buckets in which several components remain are compared in blocks, exhaustively, between components only, and inside
-   tasks. So no link between components is lost, though copies are never expanded into all pairs.
+5. Large buckets in which several components remain get further leaders, of other components, in rounds.
+6. Buckets in which several components still remain are compared in blocks, exhaustively, between components only, and inside
+   tasks: members outside the bucket's largest component meet all blocks, those inside it only blocks of the others. So no link
+   between components is lost, copies are never expanded into all pairs, and rows grow with the bucket, not with its square,
+   unless it holds no large component.
 """
 
 from __future__ import annotations
@@ -29,7 +32,9 @@ from siftwork.llm.common import WordHashes, connected_components, discard, shing
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // ROWS
 LEADERS = 4
-BLOCK, BLOCK_HASHES = 1024, 1_000_000
+BLOCK, BLOCK_HASHES = 512, 1_000_000
+#: Buckets of more members than this get LEADERS further leaders in each of ROUNDS rounds.
+LARGE, ROUNDS = 256, 3
 SIGMAS = 5.0
 #: Below this set size, few registers are filled by hashes of their own: such pairs go straight to the full sets.
 ESTIMATE_FROM = 64
@@ -164,15 +169,19 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def across_components(members: DataFrame, sketched: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one bucket in different components whose sets, as 32-bit hashes, reach percent.
 
-    members: bucket, band, doc_id, component. A bucket is dealt into blocks of about 1,024 members and a million hashes, and
-    each pair of blocks is one group, so that no group grows with its bucket. A pair is compared in the first band that
-    it shares. Sets are compared within the task: pairs that fail are no rows. Shortened hashes can only add pairs.
+    members: bucket, band, doc_id, component. The largest component of a bucket and the others are each dealt into blocks of about
+    512 members and a million hashes, and each pair of blocks that may hold different components is one group, so that no group
+    grows with its bucket. A pair is compared in the first band that it shares. Sets are compared within the task: pairs that fail
+    are no rows. Shortened hashes can only add pairs.
     """
     least = least_estimate(percent / 100)
     sized = members.join(sketched.select("doc_id", "n_shingles"), "doc_id")
-    sizes = sized.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("hashes"), F.min("component").alias("low"), F.max("component").alias("high"))
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("hashes") / BLOCK_HASHES)).cast("int")
-    open_ = sizes.where("low <> high and n > 2").select("bucket", blocks.alias("blocks"))
+    parts = sized.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("h"))
+    most = F.max(F.struct("n", "component", "h"))
+    sizes = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("h").alias("h"), most.alias("most"))
+    blocks = lambda n, h: F.greatest(F.lit(1), F.ceil(F.greatest(n / BLOCK, h / BLOCK_HASHES))).cast("int")
+    main, rest = blocks(F.col("most.n"), F.col("most.h")), blocks(F.col("n") - F.col("most.n"), F.col("h") - F.col("most.h"))
+    open_ = sizes.where("parts > 1 and n > 2").select("bucket", F.col("most.component").alias("main"), main.alias("mains"), rest.alias("others"))
     rows, rows_at = stored(members.join(open_, "bucket"), "open")
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +192,10 @@ def across_components(members: DataFrame, sketched: DataFrame, sets: DataFrame,
     asked = rows.select("doc_id").distinct()
     short = sets.join(asked, "doc_id", "left_semi").mapInArrow(shorten, "doc_id long, short binary")
     known = sketched.select("doc_id", "n_shingles", "sketch").join(short, "doc_id")
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    inside, place = F.col("component") == F.col("main"), F.xxhash64("doc_id")
+    own = F.when(inside, F.pmod(place, F.col("mains"))).otherwise(F.col("mains") + F.pmod(place, F.col("others"))).cast("int")
+    meets = F.sequence(F.when(inside, F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("others") - 1)
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(meets))
     dealt = dealt.select("bucket", "band", "doc_id", "component", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).join(known, "doc_id")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -212,12 +224,26 @@ def across_components(members: DataFrame, sketched: DataFrame, sets: DataFrame,
     return found
 
 
+def further_links(members: DataFrame, sketched: DataFrame, sets: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Links (a, b) of members (bucket, doc_id, component) of large buckets to leaders of other components, chosen by seed."""
+    by = [F.min(F.struct(F.xxhash64("component", F.lit(seed * LEADERS + i)).alias("by"), "doc_id", "component")).alias(f"lead{i}") for i in range(LEADERS)]
+    open_ = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), *by).where(f"low <> high and n > {LARGE}")
+    leads = open_.select("bucket", F.array_distinct(F.array(*[F.struct(F.col(f"lead{i}.doc_id").alias("doc_id"), F.col(f"lead{i}.component").alias("component")) for i in range(LEADERS)])).alias("leads"))
+    met = members.join(leads, "bucket").select("doc_id", "component", F.explode("leads").alias("lead")).where("component <> lead.component")
+    pairs, pairs_at = stored(met.select(F.least("doc_id", "lead.doc_id").alias("a"), F.greatest("doc_id", "lead.doc_id").alias("b")).distinct(), "pairs")
+    links, _ = stored(confirmed(promising(pairs, sketched, percent / 100), sets, percent), "links")
+    discard(members.sparkSession, pairs_at)
+    return links
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs (doc_id, text): n_shingles, component_id, kept.
 
     Lower-cases A-Z, takes words between ASCII white space and sets of distinct shingles of width words (fewer words:
     the whole sequence). Null and empty texts have no shingles and link with nothing; rows without doc_id are kept and
     have no component. component_id is the smallest doc_id reachable over links of similarity percent / 100 or more.
+    Texts may have any length; the smallest doc_id of equal sets (ties) stands for them. Rows that repeat a doc_id count as
+    one document; if their texts differ, either's set may be compared for links. No rows give no rows; other columns are dropped.
     """
     spark, threshold = docs.sparkSession, percent / 100
     docs = docs.select("doc_id", "text")
@@ -238,12 +264,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links, links_at = stored(confirmed(likely, sets, percent), "links")
 
     classes = connected_components(links)
-    labelled = members.join(classes, members.doc_id == classes.id, "left").select("bucket", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    rest = across_components(labelled, sketched, sets, percent)
+
+    def labelled() -> DataFrame:
+        return members.join(classes, members.doc_id == classes.id, "left").select("bucket", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+
+    def joined(more: DataFrame) -> DataFrame:
+        both, _ = stored(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), "links")
+        return connected_components(both)
+
+    for seed in range(ROUNDS):
+        more = further_links(labelled(), sketched, sets, percent, seed)
+        if more.isEmpty():
+            break
+        classes = joined(more)
+    rest = across_components(labelled(), sketched, sets, percent)
     more, _ = stored(confirmed(rest, sets, percent), "links")
     if not more.isEmpty():
-        links, _ = stored(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), "links")
-        classes = connected_components(links)
+        classes = joined(more)
     discard(spark, members_at, tested_at, likely_at, sets_at, links_at)
 
     heads = sketched.select("fp_high", "fp_low", F.col("doc_id").alias("first_id"))
