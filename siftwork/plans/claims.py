@@ -8,7 +8,7 @@ from siftwork.functions import identity, payloads, text
 from siftwork.operators import entities, labels, records, search, similarity, state
 from siftwork.plans.texts import _PAIRS, _TOKENS, pairs
 from siftwork.sources import html
-from siftwork.sources.tables import table
+from siftwork.sources.tables import spread, table
 
 QUERIES, SQL = {}, {}
 
@@ -153,7 +153,7 @@ def jn_null_names(spark, d):
   r AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS place FROM c)
   SELECT doc_id, CAST(place AS INTEGER) AS place, term FROM r WHERE place <= 5""")
 def ag_top_terms(spark, d):
-    return text.top_terms(table(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("words")), "doc_id", "words", 5)
+    return text.top_terms(spread(table(spark, d, "documents")).select("doc_id", text.tokens(F.col("text")).alias("words")), "doc_id", "words", 5)
 
 
 @query("""SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY relevance IS NULL, relevance DESC, event_id) AS INTEGER) AS place
@@ -411,12 +411,12 @@ def _without_boilerplate(column: str) -> str:
 
 @query("SELECT doc_id, CASE WHEN length(t) >= 100 THEN sha256(t) END AS cleaned FROM (SELECT doc_id, " + _CLEANED.replace("{x}", _without_boilerplate("text")) + " AS t FROM documents)")
 def tx_clean_extracted(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2(text.clean_extracted(F.col("text")), 256).alias("cleaned"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.sha2(text.clean_extracted(F.col("text")), 256).alias("cleaned"))
 
 
 @query()
 def ht_records(spark, d):
-    rows = html.records(table(spark, d, "pages"), F.concat(F.lit("page "), F.col("page_id").cast("string")))
+    rows = html.records(spread(table(spark, d, "pages")), F.concat(F.lit("page "), F.col("page_id").cast("string")))
     return rows.select("page_id", "title", F.length("body").alias("body_chars"), F.array_join("headlines", "|").alias("headlines"))
 
 
@@ -425,7 +425,7 @@ _MENTIONS = f"list_distinct(regexp_extract_all({{c}}, '{entities.MENTION.replace
 
 @query(f"SELECT doc_id, len({_MENTIONS.format(c='text')}) AS names FROM documents")
 def ud_mentions(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(entities.mentions(F.col("text"))).cast("long").alias("names"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.size(entities.mentions(F.col("text"))).cast("long").alias("names"))
 
 
 _KEY = "' ' || array_to_string(regexp_extract_all(lower({c}), '[ঀ-৿0-9a-z]+'), ' ') || ' '"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import identity, text, urls, vectors
 from siftwork.operators import decisions, ranking
-from siftwork.sources.tables import table
+from siftwork.sources.tables import spread, table
 
 QUERIES, SQL = {}, {}
 
@@ -150,5 +150,5 @@ def tx_titles(spark, d):
 
 @query()
 def tx_qualifiers(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("words"))
+    rows = spread(table(spark, d, "documents")).select("doc_id", text.tokens(F.col("text")).alias("words"))
     return rows.select("doc_id", text.negated(F.col("words")).alias("negated"), F.array_join(text.qualifier_groups(F.col("words")), ",").alias("groups"), F.size(text.bigrams(F.col("words"))).alias("bigrams"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siftwork.functions import identity, text, urls
 from siftwork.operators import decisions, duplicates, ranking, search, similarity
 from siftwork.sources import html
-from siftwork.sources.tables import table
+from siftwork.sources.tables import spread, table
 
 QUERIES, SQL = {}, {}
 
@@ -52,12 +52,12 @@ _TOKENS = f"regexp_extract_all({_MATCH}, '[ঀ-৿0-9A-Za-z]+(?:[.,][0-9]+)*')"
 @query(f"SELECT doc_id, len({_TOKENS}) AS tokens, len(list_distinct({_TOKENS})) AS different FROM documents")
 def tx_tokenize_counts(spark, d):
     words = text.tokens(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(words).cast("long").alias("tokens"), F.size(F.array_distinct(words)).cast("long").alias("different"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.size(words).cast("long").alias("tokens"), F.size(F.array_distinct(words)).cast("long").alias("different"))
 
 
 @query(f"SELECT doc_id, sha256({_MATCH}) AS form FROM documents")
 def tx_normalize(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2(text.match_form(F.col("text")), 256).alias("form"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.sha2(text.match_form(F.col("text")), 256).alias("form"))
 
 
 _WORDS = r"list_filter(string_split_regex(nfc_normalize(text), '\s+'), lambda w: w <> '')"
@@ -65,7 +65,7 @@ _WORDS = r"list_filter(string_split_regex(nfc_normalize(text), '\s+'), lambda w:
 
 @query(f"SELECT doc_id, array_to_string(({_WORDS})[1:5], ' ') || CASE WHEN len({_WORDS}) > 5 THEN '...' ELSE '' END AS preview FROM documents")
 def tx_preview(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.preview(F.col("text")).alias("preview"))
+    return spread(table(spark, d, "documents")).select("doc_id", text.preview(F.col("text")).alias("preview"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 400 THEN text[1:400] || '…' ELSE text END AS short FROM documents")
@@ -79,14 +79,14 @@ _SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(regexp_rep
 @query(f"SELECT doc_id, len({_SENTENCES}) AS sentences, array_to_string({_SENTENCES}, '|') AS joined FROM documents")
 def tx_sentences(spark, d):
     parts = text.sentences(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(parts).cast("long").alias("sentences"), F.array_join(parts, "|").alias("joined"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.size(parts).cast("long").alias("sentences"), F.array_join(parts, "|").alias("joined"))
 
 
 @query(f"""SELECT term, count(*) AS documents, CAST(sum(n) AS BIGINT) AS occurrences FROM
   (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1
   ORDER BY documents DESC, term LIMIT 300""")
 def ag_term_frequencies(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("term"))
+    rows = spread(table(spark, d, "documents")).select("doc_id", F.explode(text.tokens(F.col("text"))).alias("term"))
     per = rows.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
     return per.groupBy("term").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences")).orderBy(F.desc("documents"), "term").limit(300)
 
@@ -107,7 +107,7 @@ _PAIRS = f"""(WITH i AS (SELECT item_id, text AS claim, {_tok("text")} AS a FROM
 
 def pairs(spark, d):
     """item_id, doc_id, claim, source and their tokens a and b."""
-    items, docs = table(spark, d, "benchmark").select("item_id", F.col("text").alias("claim")), table(spark, d, "documents").select("doc_id", F.col("text").alias("source"))
+    items, docs = table(spark, d, "benchmark").select("item_id", F.col("text").alias("claim")), spread(table(spark, d, "documents").select("doc_id", F.col("text").alias("source")))
     words = lambda rows, key, column: rows.select(key, text.tokens(F.col(column)).alias("words"))
     linked = similarity.sharing_runs(words(items, "item_id", "claim"), words(docs, "doc_id", "source"), "item_id", "doc_id")
     rows = linked.join(items, "item_id").join(docs, "doc_id")
@@ -177,7 +177,7 @@ def dd_exact(spark, d):
 
 @query(r"SELECT doc_id, sha256(lower(regexp_replace(nfc_normalize(text), '^\s+|\s+$', '', 'g'))) AS text_hash FROM documents")
 def hs_text_hash(spark, d):
-    return table(spark, d, "documents").select("doc_id", identity.text_hash(F.col("text")).alias("text_hash"))
+    return spread(table(spark, d, "documents")).select("doc_id", identity.text_hash(F.col("text")).alias("text_hash"))
 
 
 def _esc(x: str) -> str:
@@ -192,7 +192,7 @@ _CANON = r"trim(regexp_replace(replace(translate(nfc_normalize(text), '।॥“
 def hs_content_hash(spark, d):
     scope = F.when(F.col("doc_id") % 2 == 0, "HEADLINE_WITH_BODY").otherwise("HEADLINE_ONLY")
     value = identity.claim_hash(F.col("text"), F.col("source"), scope, F.col("text"), F.lit(None), "1")
-    return table(spark, d, "documents").select("doc_id", value.alias("claim_hash"))
+    return spread(table(spark, d, "documents")).select("doc_id", value.alias("claim_hash"))
 
 
 _TRACKED = "utm_source|utm_medium|utm_campaign|utm_term|utm_content|fbclid|gclid|mc_cid|mc_eid|ref|referrer|_ga"
@@ -202,7 +202,7 @@ _KEPT = f"list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), l
 @query(f"""SELECT page_id, sha256(lower(CASE WHEN regexp_extract(url, '\\?([^#]*)', 1) = '' THEN url ELSE regexp_extract(url, '^[^?#]*') ||
   CASE WHEN len({_KEPT}) > 0 THEN '?' || array_to_string({_KEPT}, '&') ELSE '' END || regexp_extract(url, '#.*$') END)) AS url_hash FROM pages""")
 def hs_url_hash(spark, d):
-    return table(spark, d, "pages").select("page_id", identity.url_hash(F.col("url")).alias("url_hash"))
+    return spread(table(spark, d, "pages")).select("page_id", identity.url_hash(F.col("url")).alias("url_hash"))
 
 
 _DROPPED = "|".join(urls.DROPPED)
@@ -255,23 +255,23 @@ _VISIBLE = r"""trim(regexp_replace(replace(replace(replace(replace(replace(repla
 @query(rf"SELECT page_id, regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1) AS title, length({_VISIBLE}) AS visible FROM pages")
 def ht_title_visible_len(spark, d):
     page = F.col("html")
-    return table(spark, d, "pages").select("page_id", F.regexp_extract(page, r"(?is)<title\b[^>]*>(.*?)</title>", 1).alias("title"), F.length(html.visible(page)).cast("long").alias("visible"))
+    return spread(table(spark, d, "pages")).select("page_id", F.regexp_extract(page, r"(?is)<title\b[^>]*>(.*?)</title>", 1).alias("title"), F.length(html.visible(page)).cast("long").alias("visible"))
 
 
 @query(rf"SELECT page_id, regexp_matches(html, '(?i)enable javascript|track\(') AND length({_VISIBLE}) < 2000 AS shell FROM pages")
 def pf_shell_page(spark, d):
     page = F.col("html")
-    return table(spark, d, "pages").select("page_id", (page.rlike(r"(?i)enable javascript|track\(") & (F.length(html.visible(page)) < html.SHELL_CHARS)).alias("shell"))
+    return spread(table(spark, d, "pages")).select("page_id", (page.rlike(r"(?i)enable javascript|track\(") & (F.length(html.visible(page)) < html.SHELL_CHARS)).alias("shell"))
 
 
 @query()
 def ht_extract(spark, d):
-    return html.articles(table(spark, d, "pages")).select("page_id", "title", F.length("body").alias("body_chars"), "extraction_method", "published", "date_method")
+    return html.articles(spread(table(spark, d, "pages"))).select("page_id", "title", F.length("body").alias("body_chars"), "extraction_method", "published", "date_method")
 
 
 @query()
 def ht_links(spark, d):
-    return html.links(table(spark, d, "pages"))
+    return html.links(spread(table(spark, d, "pages")))
 
 
 _COS = "list_cosine_similarity(CAST(b.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))"

@@ -13,6 +13,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt to all cores if their files give fewer partitions, as one file of one row group does; else as they are.
+
+    For scans that much work per row follows. On large tables, which have more partitions than cores, nothing is shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def listed(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(limit)
 

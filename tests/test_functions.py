@@ -148,13 +148,36 @@ def test_passages_and_chunks(spark):
 
 
 def test_material_differences(spark):
-    kinds = lambda a, b: {m["kind"] for m in value(spark, differences.material(F.lit(a), F.lit(b)))}
+    cases = []
+
+    def kinds(a, b):
+        cases.append((len(cases), a, b))
+        rows = spark.createDataFrame(cases[-1:], "id int, claim string, source string")
+        return {r.kind for r in differences.material(rows, ["id"]).collect()}
+
     assert kinds("5 people died", "5 people died") == set()
     assert kinds("7 people died", "5 people died") == {"numbers"}
     assert kinds("court did not approve the plan", "court did approve the plan") == {"negation"}
     assert kinds("fire in march", "fire in april") == {"date"}
     assert "denial" in kinds("সেতু ভেঙে গেছে", "সেতু ভেঙে গেছে, খবরটি গুজব")
-    assert value(spark, differences.amounts(F.lit("৫ লাখ টাকা এবং 1,200"))) == [500000.0, 1200.0]
+    rows = spark.createDataFrame([(1, "৫ লাখ টাকা এবং 1,200"), (2, "আগুনে পাঁচ জন নিহত ও ১২ জন আহত, ক্ষতি 3.5 কোটি টাকা"), (3, "25% growth")], "id int, claim string")
+    got = [(r.id, r.value, r.unit, r.role) for r in differences.quantities(rows, ["id"], "claim").orderBy("id", "at").collect()]
+    assert got == [(1, 500000.0, "টাকা", ""), (1, 1200.0, "", ""), (2, 5.0, "জন", "নিহত"), (2, 12.0, "জন", "আহত"), (2, 35000000.0, "টাকা", ""), (3, 25.0, "শতাংশ", "")]
+
+
+def test_differences_of_clauses_and_names(spark):
+    rows = spark.createDataFrame([
+        (1, "12 dead in bus crash; mayor did not resign today", "12 dead in bus crash; mayor did resign today"),
+        # Two counterparts that contradict each other leave it open.
+        (2, "mayor did not resign today", "mayor did resign today; mayor did not resign today"),
+        (3, "Rahim met Karim", "Rahim met Salma in Dhaka"),
+        (4, "সরকার বাজেট পাস করেছে", "সরকার বাজেট পাস করবে"),
+        (5, "সব স্কুল বন্ধ ঘোষণা", "কিছু স্কুল বন্ধ ঘোষণা"),
+        (6, "পুলিশকে ছাত্ররা মেরেছে", "ছাত্রদের পুলিশ মেরেছে"),
+    ], "id int, claim string, source string")
+    got = {(r.id, r.kind) for r in differences.material(rows, ["id"], names=True).collect()}
+    assert {(1, "negation"), (3, "entity"), (4, "modality"), (5, "scope"), (6, "subject_object")} <= got
+    assert not any(i == 2 for i, _ in got) and (1, "numbers") not in got
 
 
 PAGE = """<html><head><title>T - Out</title><meta property="og:title" content="OG"><meta content="2024-05-01" name="date">
