@@ -285,10 +285,7 @@ def dd_near_dup(spark, d):
 
 @query("SELECT vec_id, CAST(least(count(*) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING) - 1, 100) AS BIGINT) AS candidates FROM embeddings")
 def wn_recent_candidates(spark, d):
-    from pyspark.sql import Window
-
-    frame = Window.partitionBy("label").orderBy("vec_id").rowsBetween(-100, -1)
-    return table(spark, d, "embeddings").select("vec_id", F.count("vec_id").over(frame).alias("candidates"))
+    return ranking.recent_count(table(spark, d, "embeddings").select("vec_id", "label"), "label", [F.col("vec_id")]).select("vec_id", "candidates")
 
 
 _MEASURES = "(SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE (event_id * 7 % 100) / 100.0::DOUBLE END AS s, CASE WHEN event_id % 3 = 0 THEN NULL ELSE (event_id * 13 % 100) / 100.0::DOUBLE END AS t, CASE WHEN event_id % 4 = 0 THEN NULL ELSE (event_id * 29 % 100) / 100.0::DOUBLE END AS p FROM events)"
