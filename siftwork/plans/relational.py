@@ -136,7 +136,8 @@ def ag_user_status_counts(spark, d):
   max(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS most FROM events GROUP BY 1""")
 def js_stage_median(spark, d):
     rows = table(spark, d, "events").select("event_type", F.explode(F.from_json("props", "map<string,int>")).alias("key", "ms"))
-    return rows.where("key = 'k'").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("n"), F.round(F.median("ms"), 6).alias("median"), F.max("ms").alias("most"))
+    timed = rows.where("key = 'k'").select(F.col("event_type").alias("stage"), "ms")
+    return ranking.medians(timed, "stage", "ms").withColumn("median", F.round("median", 6))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, json_extract_string(props, '$.none') AS none, '{\"timings\": ' || json_extract_string(props, '$.k') || '}' AS merged FROM events")
