@@ -55,3 +55,13 @@ def test_rejected_documents_go(spark, documents):
     ids = {r.doc_id for r in corpus_pipeline.identify_language(spark, both, "").collect()}
     assert not ids & {10_000, 10_001} and len(ids) > 150
     assert langid.UNKNOWN == "und"
+
+
+def test_each_stage_on_edges(spark, edges, none):
+    """Nulls in any column, repeated rows, columns of clashing names, and no rows at all."""
+    docs = edges.selectExpr("*", "CAST(length(text) AS BIGINT) AS n_chars")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns + (["ids", "n_tokens"] if name == "byte_bpe" else [])
+        assert {r.doc_id for r in out.select("doc_id").collect()} <= {1, 2, 3, 4, 5, 6, 7, 8, 9, None}
+        assert stage(spark, docs.limit(0), "").count() == 0
