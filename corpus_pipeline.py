@@ -42,7 +42,10 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix to target weights takes them."""
+    """Documents as often as the mix to target weights takes them.
+
+    Null and empty texts have size 0; a null source is one of its own. Rows that repeat a doc_id with an equal text are taken alike.
+    """
     return mixing.mixture(docs)
 
 
