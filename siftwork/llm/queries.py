@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from siftwork.llm import bpe, knn, langid, minhash, mixing, pii, rans, rules, sharding, substring
+from siftwork.llm import align, bpe, knn, langid, minhash, mixing, packing, pii, rans, rules, sharding, substring, whitening
 from siftwork.llm.common import table
 
 
@@ -52,9 +52,21 @@ def op10_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.token_index(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.link_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), length=1024, end=0)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening(table(spark, sf_dir, "embeddings"), most=8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_dedup, op2_balanced_shards, op3_pii_spans, op4_language_id, op5_byte_bpe, op6_substring_dedup, op7_exact_topk, op8_quality_rules, op9_source_mixing, op10_rans_tokens)
+    for f in (op1_minhash_dedup, op2_balanced_shards, op3_pii_spans, op4_language_id, op5_byte_bpe, op6_substring_dedup, op7_exact_topk, op8_quality_rules, op9_source_mixing, op10_rans_tokens, op11_token_alignment, op12_packing, op13_whitening)
 }
 
 #: What SQL can express. The others are tested against brute force, exact round trips or held-out accuracy.
