@@ -16,9 +16,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from operator import itemgetter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.llm.common import stored
-from siftwork.llm.segments import BLANK, Remembered, byte_letters, byte_level, segments, wide_segments
+from siftwork.llm.segments import ByteLevel, Remembered, byte_letters, byte_level, spaced
 
 #: A block ends at so many links; a longer document is a block of its own.
 BLOCK_LINKS = 1 << 20
@@ -37,9 +38,9 @@ _SPAN = re.compile(rb"[nab]*c")
 _END = re.compile(rb"[abc]")
 
 
-def labels(a_ends: list[int], b_ends: list[int], n: int) -> bytes:
+def labels(a_ends: Iterable[int], b_ends: Iterable[int], n: int) -> bytes:
     """One letter for each of n bytes: n, a, b or c (both), from the places behind which tokens end."""
-    row = bytearray(b"n" * n)
+    row = bytearray(b"n") * n
     for end in a_ends:
         row[end - 1] = 97
     for end in b_ends:
@@ -60,12 +61,10 @@ def _shape(span: bytes) -> tuple[int, int, list[tuple[int, int]]]:
 _known_shape = lru_cache(1 << 16)(_shape)
 
 
-def groups(a_lengths: list[int], b_lengths: list[int]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+def groups(a_lengths: list[int], b_lengths: list[int]) -> list[tuple[int, int, list[tuple[int, int]]]]:
     """Of two token sequences over the same bytes: the number of A and of B tokens of each group, and its overlapping pairs."""
-    n = sum(a_lengths)
-    ends = [np.cumsum(x).tolist() for x in (a_lengths, b_lengths)]
-    for span in _SPAN.findall(labels(*ends, n)):
-        yield _known_shape(span) if len(span) <= SHORT else _shape(span)
+    row = labels(accumulate(a_lengths), accumulate(b_lengths), sum(a_lengths))
+    return [_known_shape(span) if len(span) <= SHORT else _shape(span) for span in _SPAN.findall(row)]
 
 
 class Aligner:
@@ -77,52 +76,58 @@ class Aligner:
 
         self.a, self.b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True
+        self.a_ids = ByteLevel(self.a).ids
         letters = byte_letters()
         self.a_bytes = {i: bytes(letters.get(c, 0) for c in token) for token, i in self.a.get_vocab().items()}
         pieces = list(map(self.b.id_to_piece, range(self.b.get_piece_size())))
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        apart = byte_level(self.a) and not any(re.search("[^▁]▁", p) for p in pieces)
-        joined = "".join({c for p in pieces if len(p) > 1 for c in re.findall(f"[{BLANK}]", p)})
-        self.joins = re.compile(f"[{re.escape(joined)}]" if joined else r"\b\B").search if apart and "\n" not in joined else None
+        self.names = list(map(str, range(max(*self.a_bytes, len(pieces)) + 1)))
+        self.apart = byte_level(self.a) and not any(re.search("[^▁]▁", p) for p in pieces)
         self.known = Remembered(self._worked)
 
     def cut(self, text: str) -> list[str]:
-        """Segments that neither tokenizer joins; the whole text for tokenizers of another kind."""
-        if not self.joins:
+        """The segments of a space and the text, each without its first space; the whole text for tokenizers of another kind."""
+        if not self.apart:
             return [text]
-        return wide_segments(text) if self.joins(text) else segments(text)
+        first, rest = spaced(" " + text)
+        return [first[1:], *rest] if first else rest
 
     def _b_ids(self, some: list[str]) -> list[list[int]]:
-        """B's ids of segments; it adds a space to each call's text, which is the segment's own or is left out again."""
-        line = len(self.b.encode("\n"))
-        own = [len(s) > 1 and s[0] == " " for s in some]
-        out = self.b.encode([s[1:] if o else "\n" + s for s, o in zip(some, own)], num_threads=1)
-        return [ids if o else ids[line:] for ids, o in zip(out, own)]
+        """B's ids of segments: it adds a space to what it is given, but not to nothing."""
+        nothing = self.b.encode("\n ")[len(self.b.encode("\n")) :]
+        return [ids if s else nothing for s, ids in zip(some, self.b.encode(some, num_threads=1))]
 
     def _worked(self, some: list[str]) -> Iterator[tuple[bytes, bytes, int] | None]:
-        """(groups in decimal, pairs of linked ids as 64-bit integers, A tokens + 2^32 B tokens); None if bytes differ."""
-        for text, a, b in zip(some, self.a.encode_batch_fast(some, add_special_tokens=False), self._b_ids(some)):
-            a, raw = a.ids, text.encode()
-            a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
+        """Of segments: (groups in decimal, pairs of linked ids as 64-bit integers, A tokens + 2^32 B tokens); None if bytes differ."""
+        a_bytes, b_bytes, names = self.a_bytes, self.b_bytes, self.names
+        own = [" " + s for s in some]
+        for text, a, b in zip(own, self.a_ids(own), self._b_ids(some)):
+            raw = text.encode()
+            a_parts, b_parts = [a_bytes[i] for i in a], [b_bytes[i] for i in b]
             if b"".join(a_parts) != raw or b"".join(b_parts) != raw:
                 yield None
                 continue
             out, pairs, i, j = [], [], 0, 0
             for n_a, n_b, links in groups(list(map(len, a_parts)), list(map(len, b_parts))):
-                out.append(f"{','.join(map(str, a[i : i + n_a]))}|{','.join(map(str, b[j : j + n_b]))}")
-                pairs += [a[i + p] << 32 | b[j + q] for p, q in links]
+                if n_a == n_b == 1:
+                    out.append(f"{names[a[i]]}|{names[b[j]]}")
+                    pairs.append(a[i] << 32 | b[j])
+                else:
+                    out.append(f"{','.join([names[x] for x in a[i : i + n_a]])}|{','.join([names[x] for x in b[j : j + n_b]])}")
+                    pairs += [a[i + p] << 32 | b[j + q] for p, q in links]
                 i, j = i + n_a, j + n_b
-            yield ";".join(out).encode(), np.array(pairs, "<u8").tobytes(), len(a) | len(b) << 32
+            yield ";".join(out).encode(), array("Q", pairs).tobytes(), len(a) | len(b) << 32
 
     def of(self, texts: list[str | None]) -> list[tuple[bytes, bytes, int, int] | None]:
         """Per text, of a space and the text: groups in decimal, linked pairs, A tokens, B tokens; None without tokens."""
         found = []
-        for own in self.known.of([self.cut(" " + t) if t else [] for t in texts]):
+        for own in self.known.of([self.cut(t) if t else [] for t in texts]):
             if not own or None in own:
                 found.append(None)
                 continue
-            n = sum(map(itemgetter(2), own))
-            found.append((b";".join(map(itemgetter(0), own)), b"".join(map(itemgetter(1), own)), n & 0xFFFFFFFF, n >> 32))
+            text, pairs, counts = zip(*own)
+            n = sum(counts)
+            found.append((b";".join(text), b"".join(pairs), n & 0xFFFFFFFF, n >> 32))
         return found
 
 

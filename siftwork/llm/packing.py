@@ -12,6 +12,7 @@ Only the last sequence can be short, so that less than one window is padding. A
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.llm.common import stored
-from siftwork.llm.segments import Remembered, byte_level, segments
+from siftwork.llm.segments import ByteLevel, Remembered, byte_level, spaced
 
 LENGTH, END = 1024, 0
 
@@ -36,17 +37,20 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.apart = byte_level(self.tokenizer)
-        self.known = Remembered(self._encoded)
+        self.ids = ByteLevel(self.tokenizer, self.special).ids
+        self.first, self.known = Remembered(self._encoded, 50_000), Remembered(lambda some: self._encoded([" " + s for s in some]))
 
     def _encoded(self, some: list[str]) -> Iterator[bytes]:
-        return (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))
+        return (array("I", ids).tobytes() for ids in self.ids(some))
 
-    def _cut(self, text: str) -> list[str]:
+    def _cut(self, text: str) -> tuple[str, list[str]]:
         # Beside a special token white space is read as at the end of a text, so such a text is encoded as it is.
-        return segments(text) if self.apart and not any(s in text for s in self.special) else [text]
+        return spaced(text) if self.apart and not any(s in text for s in self.special) else (text, [])
 
     def of(self, texts: list[str | None], end: bytes) -> list[bytes]:
-        return [b"".join(own) + end for own in self.known.of([self._cut(t) if t else [] for t in texts])]
+        cut = [self._cut(t or "") for t in texts]
+        first, rest = self.first.of([[f] for f, _ in cut]), self.known.of([r for _, r in cut])
+        return [b"".join(f) + b"".join(r) + end for f, r in zip(first, rest)]
 
 
 @lru_cache(2)

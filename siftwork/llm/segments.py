@@ -1,42 +1,40 @@
 """Texts cut where tokenizers always end a token, so that what is worked out for a segment can be remembered.
 
-A segment is a word with the one space before it, a run of white space, or, where a word follows several spaces, both. A
-byte-level pre-tokenizer by words never joins two segments, and reads each as it does within the text; neither does a
-piece vocabulary in which nothing but a space stands before a space, for texts without such other white space as is part
-of longer pieces. Those are cut into wide segments.
+Texts are cut before each space that follows something else than white space. A byte-level pre-tokenizer by words never
+joins two such segments, and reads each as it does within the text; neither does a piece vocabulary in which nothing but a
+space stands before a space.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from itertools import chain
 
 #: White space as Unicode has it; Python's \s has four characters more.
 BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_SEGMENT = re.compile(f" ?[^{BLANK}]+|[{BLANK}]*  [^{BLANK}]+|[{BLANK}]+(?=[{BLANK}][^{BLANK}])|[{BLANK}]+")
+_UNEVEN = re.compile(f"[{BLANK}] ").search
+_SEGMENT = re.compile(f"(?:^ ?|(?<=[^{BLANK}]) )[^ ]*(?:(?<=[{BLANK}]) [^ ]*)*")
 
 
-_WIDE = re.compile(f"(?:^ ?|(?<=[^{BLANK}]) )[^ ]*(?:(?<=[{BLANK}]) [^ ]*)*")
-
-
-def segments(text: str) -> list[str]:
-    return _SEGMENT.findall(text)
-
-
-def wide_segments(text: str) -> list[str]:
-    """text cut only before a space that follows something else than white space."""
-    return _WIDE.findall(text)
+def spaced(text: str) -> tuple[str, list[str]]:
+    """The first segment of a text, and the others without the space that each begins with."""
+    if not _UNEVEN(text):
+        first, *rest = text.split(" ")
+        return first, rest
+    first, *rest = _SEGMENT.findall(text)
+    return first, [s[1:] for s in rest]
 
 
 class Remembered:
-    """What work gives for segments, in two generations of at most bound each: what is asked for again goes over to the next one."""
+    """What work gives for keys, in two generations of about bound each: what is asked for again goes over to the next one."""
 
-    def __init__(self, work: Callable[[list[str]], Iterator], bound: int = 150_000):
+    def __init__(self, work: Callable[[list[str]], Iterator], bound: int = 250_000):
         self.work, self.bound, self.now, self.before = work, bound, {}, {}
 
     def of(self, split: list[list[str]]) -> list[list]:
-        """For each list of segments, what was worked out for them; the lists share one call of work."""
+        """For each list of keys, what was worked out for them; the lists share one call of work."""
         if len(self.now) > self.bound:
             self.now, self.before = {}, self.now
         new = set(chain.from_iterable(split)).difference(self.now)
@@ -51,11 +49,9 @@ class Remembered:
 
 def byte_level(tokenizer) -> bool:
     """Whether a tokenizer of the tokenizers library cuts texts as segments are cut: byte level by words, and nothing else."""
-    import json
-
-    pre = json.loads(tokenizer.to_str())
-    step = pre["pre_tokenizer"] or {}
-    return pre["normalizer"] is None and step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space") and not pre["truncation"]
+    whole = json.loads(tokenizer.to_str())
+    step = whole["pre_tokenizer"] or {}
+    return whole["normalizer"] is None and step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space") and not whole["truncation"]
 
 
 def byte_letters() -> dict[str, int]:
@@ -63,3 +59,38 @@ def byte_letters() -> dict[str, int]:
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(own)]
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+#: Latin letters, signs of which none begins a contraction, and single line ends: each run is one piece for a byte-level pre-tokenizer.
+_RUN = r" ?[A-Za-zÀ-ÖØ-öø-ɏ]++| ?[!-&(-/:-@\[-`{-~]++|\n(?=[!-&(-/:-@A-z{-~À-ÖØ-öø-ɏ])"
+_PLAIN, _PIECES = re.compile(f"(?:{_RUN})++").fullmatch, re.compile(_RUN).findall
+
+
+class ByteLevel:
+    """Ids of segments by a byte-level tokenizer: plain ones go to its model piece by piece, the others take the whole way.
+
+    special: tokens that are not to be read as text; segments with one of them are not plain.
+    """
+
+    def __init__(self, tokenizer, special: tuple[str, ...] = (), bound: int = 100_000):
+        self.encode, self.tokenize, self.bound = tokenizer.encode_batch_fast, tokenizer.model.tokenize, bound
+        self.written = {b: c for c, b in byte_letters().items()}
+        self.known: dict[str, list[int]] = {}
+        self.special = re.compile("|".join(map(re.escape, special))).search if special else lambda s: None
+        self.apart = byte_level(tokenizer)
+
+    def _piece(self, piece: str) -> list[int]:
+        found = self.known.get(piece)
+        if found is None:
+            found = [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.written))]
+            if len(piece) < 5:  # signs and short words come back
+                if len(self.known) > self.bound:
+                    self.known.clear()
+                self.known[piece] = found
+        return found
+
+    def ids(self, some: list[str]) -> Iterator[list[int]]:
+        plain = [self.apart and _PLAIN(s) is not None and self.special(s) is None for s in some]
+        other = iter(self.encode([s for s, p in zip(some, plain) if not p], add_special_tokens=False))
+        for s, p in zip(some, plain):
+            yield list(chain.from_iterable(map(self._piece, _PIECES(s)))) if p else next(other).ids
