@@ -264,11 +264,6 @@ def pf_shell_page(spark, d):
     return spread(table(spark, d, "pages")).select("page_id", (page.rlike(r"(?i)enable javascript|track\(") & (F.length(html.visible(page)) < html.SHELL_CHARS)).alias("shell"))
 
 
-@query()
-def ht_extract(spark, d):
-    return html.articles(spread(table(spark, d, "pages"))).select("page_id", "title", F.length("body").alias("body_chars"), "extraction_method", "published", "date_method")
-
-
 @query()
 def ht_links(spark, d):
     return html.links(spread(table(spark, d, "pages")))
