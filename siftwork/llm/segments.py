@@ -38,9 +38,9 @@ class Remembered:
         if len(self.now) > self.bound:
             self.now, self.before = {}, self.now
         new = set(chain.from_iterable(split)).difference(self.now)
-        if old := new.intersection(self.before):
-            self.now.update((s, self.before[s]) for s in old)
-            new -= old
+        if old := list(filter(self.before.__contains__, new)):
+            self.now.update(zip(old, map(self.before.__getitem__, old)))
+            new.difference_update(old)
         if new:
             asked = list(new)
             self.now.update(zip(asked, self.work(asked)))
@@ -61,36 +61,50 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-#: Latin letters, signs of which none begins a contraction, and single line ends: each run is one piece for a byte-level pre-tokenizer.
-_RUN = r" ?[A-Za-zÀ-ÖØ-öø-ɏ]++| ?[!-&(-/:-@\[-`{-~]++|\n(?=[!-&(-/:-@A-z{-~À-ÖØ-öø-ɏ])"
-_PLAIN, _PIECES = re.compile(f"(?:{_RUN})++").fullmatch, re.compile(_RUN).findall
+#: Latin letters, signs of which none begins a contraction, and line ends: each run is one piece for a byte-level pre-tokenizer.
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
+_PLAIN = re.compile(f"(?: ?[{_LETTERS}]++| ?[{_SIGNS}]++|\n(?=[{_LETTERS}{_SIGNS}]))++").fullmatch
+
+
+def ranked(tokenizer, special: tuple[str, ...]):
+    """The merges of a byte-level tokenizer as ranks of their results, for tiktoken; None where these might differ.
+
+    They are the same if results are numbered in the order of the merges and the tokenizer makes each token whole: two
+    neighbours that make a token without being its merge would, by the same steps, be what is left of that token alone.
+    """
+    import tiktoken
+
+    model = json.loads(tokenizer.to_str())["model"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", ())]
+    numbers, letters = [model["vocab"].get("".join(p), -1) for p in pairs], byte_letters()
+    usual = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    whole = lambda token, number: [t.id for t in tokenizer.model.tokenize(token)] == [number]
+    tokens = {t: i for t, i in model["vocab"].items() if t not in special}
+    if not usual or any(b <= a for a, b in zip(numbers, numbers[1:])) or not all(set(t) <= letters.keys() and whole(t, i) for t, i in tokens.items()):
+        return None
+    ranks = {bytes(map(letters.__getitem__, t)): i for t, i in tokens.items()}
+    if not all(bytes([b]) in ranks for b in range(256)):
+        return None
+    return tiktoken.Encoding("ranked", pat_str=f" ?[{_LETTERS}]+| ?[{_SIGNS}]+|\n", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 class ByteLevel:
-    """Ids of segments by a byte-level tokenizer: plain ones go to its model piece by piece, the others take the whole way.
+    """Ids of segments by a byte-level tokenizer: plain ones by its ranks, the others by the tokenizer itself.
 
     special: tokens that are not to be read as text; segments with one of them are not plain.
     """
 
-    def __init__(self, tokenizer, special: tuple[str, ...] = (), bound: int = 100_000):
-        self.encode, self.tokenize, self.bound = tokenizer.encode_batch_fast, tokenizer.model.tokenize, bound
-        self.written = {b: c for c, b in byte_letters().items()}
-        self.known: dict[str, list[int]] = {}
+    def __init__(self, tokenizer, special: tuple[str, ...] = ()):
+        self.encode = tokenizer.encode_batch_fast
+        added = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
+        self.quick = ranked(tokenizer, added) if byte_level(tokenizer) else None
         self.special = re.compile("|".join(map(re.escape, special))).search if special else lambda s: None
-        self.apart = byte_level(tokenizer)
-
-    def _piece(self, piece: str) -> list[int]:
-        found = self.known.get(piece)
-        if found is None:
-            found = [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.written))]
-            if len(piece) < 5:  # signs and short words come back
-                if len(self.known) > self.bound:
-                    self.known.clear()
-                self.known[piece] = found
-        return found
 
     def ids(self, some: list[str]) -> Iterator[list[int]]:
-        plain = [self.apart and _PLAIN(s) is not None and self.special(s) is None for s in some]
+        if self.quick is None:
+            yield from (e.ids for e in self.encode(some, add_special_tokens=False))
+            return
+        plain = [_PLAIN(s) is not None and self.special(s) is None for s in some]
         other = iter(self.encode([s for s, p in zip(some, plain) if not p], add_special_tokens=False))
         for s, p in zip(some, plain):
-            yield list(chain.from_iterable(map(self._piece, _PIECES(s)))) if p else next(other).ids
+            yield self.quick(s) if p else next(other).ids
