@@ -46,6 +46,22 @@ def discard(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def told_apart(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs (doc_id, text, ...) with _row, in order of doc_id, and the numbers (_row, doc_id) that this took.
+
+    Where each doc_id has one text, _row is doc_id, and there are no numbers; else it is a number per doc_id and text. Rows
+    that repeat both share it; rows without doc_id have none. Under one doc_id texts are compared by 64-bit hashes.
+    """
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
+    pairs = docs.where("doc_id IS NOT NULL").select("doc_id", hashed.alias("_text_hash"))
+    several = pairs.groupBy("doc_id").agg(F.min("_text_hash").alias("low"), F.max("_text_hash").alias("high")).where("low <> high")
+    if several.isEmpty():
+        return docs.withColumn("_row", F.col("doc_id").cast("long")), None
+    ordered = pairs.distinct().repartitionByRange("doc_id", "_text_hash").sortWithinPartitions("doc_id", "_text_hash")
+    numbered, _ = stored(ordered.withColumn("_row", F.monotonically_increasing_id()), "rows")  # in order of partitions, too
+    return docs.withColumn("_text_hash", hashed).join(numbered, ["doc_id", "_text_hash"], "left").drop("_text_hash"), numbered.select("_row", "doc_id")
+
+
 def text_bytes(name: str = "text") -> Column:
     """The text as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import WordHashes, connected_components, discard, shingles, stored, text_bytes
+from siftwork.llm.common import WordHashes, connected_components, discard, shingles, stored, text_bytes, told_apart
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // ROWS
@@ -227,11 +227,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Lower-cases A-Z, takes words between ASCII white space and sets of distinct shingles of width words (fewer words:
     the whole sequence). Null and empty texts have no shingles and link with nothing; rows without doc_id are kept and
     have no component. component_id is the smallest doc_id reachable over links of similarity percent / 100 or more.
-    Texts may have any length; the smallest doc_id of equal sets (ties) stands for them. Rows that repeat a doc_id count as
-    one document; if their texts differ, either's set may be compared for links. No rows give no rows; other columns are dropped.
+    Texts may have any length; the smallest doc_id of equal sets (ties) stands for them. Rows that repeat a doc_id and its text
+    count as one; different texts of one doc_id are linked each for itself. No rows give no rows; other columns are dropped.
     """
     spark, threshold = docs.sparkSession, percent / 100
-    docs = docs.select("doc_id", "text")
+    docs, numbers = told_apart(docs.select("doc_id", "text"))
+    docs = docs.select(F.col("_row").alias("doc_id"), "text")
     rows, _ = stored(sketches(docs, width), "sketches")
     usable = rows.where("n_shingles > 0 and doc_id is not null")
     sketched, _ = stored(usable.groupBy("fp_high", "fp_low").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
@@ -261,9 +262,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     heads = sketched.select("fp_high", "fp_low", F.col("doc_id").alias("first_id"))
     heads = heads.join(classes, heads.first_id == classes.id, "left").select("fp_high", "fp_low", F.coalesce("component", "first_id").alias("class_id"))
     out = rows.select("doc_id", "n_shingles", "fp_high", "fp_low").join(heads, ["fp_high", "fp_low"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    if numbers is not None:
+        for column in ("doc_id", "component_id"):
+            own = numbers.select(F.col("_row").alias(column), F.col("doc_id").alias("_own"))
+            out = out.join(own, column, "left").withColumn(column, F.col("_own")).drop("_own")
+    return out.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 #: The rows of near_duplicates with two-word shingles at 80 per cent in DuckDB, over all pairs that share a shingle.

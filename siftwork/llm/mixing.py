@@ -45,18 +45,18 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def _prefixes(rows: DataFrame, goals: DataFrame) -> DataFrame:
-    """(source, last): of rows (source, place, doc_id, size) in seeded order, up to where the running size passes goals.left.
+    """(source, last): of rows (source, place, doc_id, size, weight) in seeded order, up to where the running weight passes goals.left.
 
     Only the bucket of a source in which the running size passes is put in order; the others are summed.
     """
     rows = rows.withColumn("bucket", F.substring("place", 1, 3))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    sums = rows.groupBy("source", "bucket").agg(F.sum("weight").alias("bucket_size"))
     ahead = F.coalesce(F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sums.withColumn("ahead", ahead).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "bucket_size", "ahead")
     goals = goals.select("source", "left")
     ends = offsets.join(goals, F.col("source").eqNullSafe(F.col("s"))).where("ahead <= left and left <= ahead + bucket_size").select("s", "b", "ahead", "left")
     inside = rows.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    running = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    running = F.sum("weight").over(Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     inside = inside.withColumn("running", running).where("ahead + running <= left")
     lasts = inside.groupBy("source").agg(F.max(F.struct("place", "doc_id", "size")).alias("last")).select("source", "last")
     # Where the first row of a bucket is already too much, all before the bucket stay; beyond the last one, all rows.
@@ -73,28 +73,28 @@ def _own() -> Column:
 
 def _taken(steps: Column) -> Column:
     """Whether one of steps, in turn, takes the row: one that is small enough for what is left, and not above its last."""
-    return F.exists(steps, lambda s: (F.col("size") <= s["left"]) & (_own() <= s["last"]))
+    return F.exists(steps, lambda s: (F.col("weight") <= s["left"]) & (_own() <= s["last"]))
 
 
 def plan(sized: DataFrame, steps: int = STEPS, **settings) -> DataFrame:
-    """A row per source of sized (doc_id, source, size, place): source_size, target, whole, steps.
+    """A row per source of sized (doc_id, source, size, place, weight: the size of all rows alike): source_size, target, whole, steps.
 
     Every document is taken whole times. Of what whole repetitions leave of the target, documents fill as much as fits
     in seeded order; smaller ones behind them fill what is left then, and again, so that the sum comes near.
     """
     spark = sized.sparkSession
-    state = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), **settings)
+    state = targets(sized.groupBy("source").agg(F.sum("weight").alias("source_size")), **settings)
     whole = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("int")
     state = state.withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
     state = state.withColumn("steps", F.array().cast("array<struct<left:double,last:struct<place:string,doc_id:bigint,size:bigint>>>"))
     state, path = stored(state, "plan")
-    rows = sized.select("doc_id", F.col("source"), "size", "place")
+    rows = sized.select("source", "place", "doc_id", "size", "weight")
     for _ in range(steps):
         known = state.select(F.col("source").alias("s0"), F.col("left").alias("room"), F.col("steps").alias("taken"))
-        open_ = rows.join(known, F.col("source").eqNullSafe(F.col("s0"))).where((F.col("size") <= F.col("room")) & ~_taken(F.col("taken"))).select("source", "doc_id", "size", "place")
+        open_ = rows.join(known, F.col("source").eqNullSafe(F.col("s0"))).where((F.col("weight") <= F.col("room")) & ~_taken(F.col("taken"))).select("source", "doc_id", "size", "place", "weight")
         lasts = _prefixes(open_, state).select(F.col("source").alias("s1"), "last")
         marked = open_.join(lasts, F.col("source").eqNullSafe(F.col("s1"))).where(_own() <= F.col("last"))
-        got = marked.groupBy("source").agg(F.sum("size").alias("got")).select(F.col("source").alias("s2"), "got")
+        got = marked.groupBy("source").agg(F.sum("weight").alias("got")).select(F.col("source").alias("s2"), "got")
         joined = state.join(lasts, F.col("source").eqNullSafe(F.col("s1")), "left").join(got, F.col("source").eqNullSafe(F.col("s2")), "left")
         state, new = stored(joined.select("source", "source_size", "target", "whole", (F.col("left") - F.coalesce("got", F.lit(0))).alias("left"), F.concat("steps", F.array(F.struct("left", "last"))).alias("steps")), "plan")
         discard(spark, path)
@@ -106,16 +106,26 @@ def repetitions(docs: DataFrame, **settings) -> DataFrame:
     """docs with size, source_size, target and copies, the number of times the mix takes the row.
 
     docs: doc_id, text, source and any other columns. Null and empty texts have size 0; null is a source of its own,
-    after the others. Rows that repeat a doc_id with an equal text are taken alike.
+    after the others. Rows alike in source, doc_id and size, as repeated ones are and those without doc_id can be, are taken
+    together, and only where all of them fit, so that no target is passed. Texts may have any length; no rows give no rows.
     """
     rows = docs.withColumns({"_size": size_of(), "_place": place_of()})
-    sized, _ = stored(rows.select("doc_id", "source", F.col("_size").alias("size"), F.col("_place").alias("place")), "sizes")
+    read, at = stored(rows.select("doc_id", "source", F.col("_size").alias("size"), F.col("_place").alias("place")), "sizes")
+    keys = ["source", "doc_id", "size", "place"]
+    alike = read.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("weight", F.col("size") * F.col("n"))
+    sized, sized_at = stored(alike, "alike")
     per_source = plan(sized, **settings)
     # A row per source, small against the documents: Spark chooses the join by its size.
     known = per_source.select(F.col("source").alias("_source"), F.struct("source_size", "target", "whole", "steps").alias("_plan"))
-    joined = rows.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    joined = rows.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("_weight", F.col("_size"))
+    several, _ = stored(sized.where("n > 1 AND size > 0"), "several")
+    if not several.isEmpty():
+        more = several.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("weight").alias("_all"))
+        same = F.col("source").eqNullSafe(F.col("_k_source")) & F.col("doc_id").eqNullSafe(F.col("_k_doc_id")) & (F.col("_size") == F.col("_k_size")) & (F.col("_place") == F.col("_k_place"))
+        joined = joined.join(more, same, "left").withColumn("_weight", F.coalesce("_all", "_size")).drop("_all", *[f"_k_{k}" for k in keys])
+    discard(docs.sparkSession, at, sized_at)
     own = F.struct(F.col("_place").alias("place"), F.col("doc_id").cast("long").alias("doc_id"), F.col("_size").alias("size"))
-    extra = F.exists("_plan.steps", lambda s: (F.col("_size") <= s["left"]) & (own <= s["last"])).cast("int")
+    extra = F.exists("_plan.steps", lambda s: (F.col("_weight") <= s["left"]) & (own <= s["last"])).cast("int")
     return joined.withColumns({"_copies": F.col("_plan.whole") + extra})
 
 

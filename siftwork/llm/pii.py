@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import discard, stored
+from siftwork.llm.common import discard, stored, told_apart
 
 #: Kinds in the order in which spans of equal start are listed, and the pattern of each.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -165,7 +165,10 @@ def disclosures(spanned: DataFrame, near: DataFrame, alpha: float = ALPHA, suppo
 
 
 def all_spans(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """docs (doc_id, text and others; null texts as empty) with base and spans, base among them."""
+    """docs (doc_id, text and others; null texts as empty) with base and spans, base among them.
+
+    Rows of one doc_id must have one text; told_apart() numbers others.
+    """
     spark = docs.sparkSession
     whole = docs.withColumn("text", F.coalesce("text", F.lit("")))
     near, _ = stored(contexts(base_spans(whole.select("doc_id", "text"))), "near")
@@ -258,9 +261,11 @@ def whole_spans(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -
 def found_spans(docs: DataFrame, **settings) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term.
 
-    Null and empty texts have no spans. Terms are looked up by doc_id: rows of one doc_id share them.
+    Null and empty texts have no spans. Terms are looked up by row: rows that repeat a doc_id and its text share them, different
+    texts of one doc_id don't, and rows without doc_id have none. Texts may have any length; no rows give no rows.
     """
-    rows = all_spans(docs.select("doc_id", "text"), **settings)
+    rows, _ = told_apart(docs.select("doc_id", "text"))
+    rows = all_spans(rows.select(F.col("_row").alias("doc_id"), "text", F.col("doc_id").alias("_own")), **settings).drop("doc_id").withColumnRenamed("_own", "doc_id")
     n = lambda kind, spans="base": F.size(F.filter(spans, lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     return rows.select("doc_id", *[n(k) for k in KINDS[:4]], F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), n("term", "spans"))
 
@@ -268,7 +273,8 @@ def found_spans(docs: DataFrame, **settings) -> DataFrame:
 def sanitised(docs: DataFrame, **settings) -> DataFrame:
     """docs with every span in text replaced by the tag of its kind; where spans overlap, the first one's. Null stays."""
     others = [c for c in docs.columns if c != "text"]
-    rows = whole_spans(docs.select("doc_id", "text", F.struct(F.col("text").isNull().alias("_null"), *others).alias("_row")), **settings)
+    apart, _ = told_apart(docs.select("doc_id", "text", F.struct(F.col("text").isNull().alias("_null"), *others).alias("_given")))
+    rows = whole_spans(apart.select(F.col("_row").alias("doc_id"), "text", F.col("_given").alias("_row")), **settings)
     tags = F.array(*[F.lit(TAGS[k]) for k in KINDS])
     clean = _replaced(F.col("text"), F.col("spans"), lambda s: F.element_at(tags, s["kind"] + 1))
     text = F.when(F.col("_row._null"), F.lit(None)).when(F.size("spans") > 0, clean).otherwise(F.col("text"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import WordHashes, mixed, stored, text_bytes
+from siftwork.llm.common import WordHashes, mixed, stored, text_bytes, told_apart
 
 WINDOW, RUN = 20, 8
 #: Twice 2^bits counters: a half for windows, a quarter for each row of anchors. They are merged in segments.
@@ -301,12 +301,15 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Removes each word that a window of 20 consecutive words covers whose words also start earlier; windows are judged
     on the input. Words lie between ASCII white space; kept ones are joined by one space. Null and empty texts have no
     words; texts of fewer words than a window, and rows without doc_id, lose nothing. Texts may have any length. Of
-    equal windows (ties) the one of smallest doc_id and start stays. Rows of one doc_id count as one document: a repeated
-    row is no earlier than itself, and all rows of the id lose the same places. No rows give no rows; other columns are dropped.
+    equal windows (ties) the one of smallest doc_id and start stays. Rows that repeat a doc_id and its text count as one: none is
+    earlier than the other, and both lose the same places. Different texts of one doc_id are documents of their own, in the
+    order of their hashes. No rows give no rows; other columns are dropped.
     """
-    rows = docs.select("doc_id", text_bytes().alias("text"))
-    starts = repeated_windows(rows, window).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("starts"))  # bounded by the document
-    joined = rows.join(starts, "doc_id", "left")
+    docs, _ = told_apart(docs.select("doc_id", "text"))
+    rows = docs.select("doc_id", "_row", text_bytes().alias("text"))
+    starts = repeated_windows(rows.select(F.col("_row").alias("doc_id"), "text"), window)
+    starts = starts.groupBy(F.col("doc_id").alias("_row")).agg(F.collect_list(F.struct("start", "n")).alias("starts"))  # bounded by the document
+    joined = rows.join(starts, "_row", "left").drop("_row")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
