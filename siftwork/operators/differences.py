@@ -78,7 +78,7 @@ def day_words(words: Column) -> Column:
 
 def _value(surface: Column) -> Column:
     """The number of a surface, with its magnitude multiplied in."""
-    times = F.coalesce(*[F.when(surface.rlike(rf"^[0-9.,]+\s*{nfc_words((name,))[0]}"), F.lit(float(by))) for name, by in MAGNITUDES.items()], F.lit(1.0))
+    times = F.coalesce(*[F.when(surface.rlike(rf"^[0-9.,]+\s*{nfc_words((name,))[0]}(?![ঀ-৿])"), F.lit(float(by))) for name, by in MAGNITUDES.items()], F.lit(1.0))
     return F.replace(F.regexp_extract(surface, "^[0-9.,]*[0-9]", 0), F.lit(","), F.lit("")).cast("double") * times
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftwork.plans.texts import _HOST
+from siftwork.functions import urls
+from siftwork.operators import resolution
+from siftwork.plans.texts import _HOST, PUBLISHERS
 from siftwork.sources import extraction
 from siftwork.sources.tables import spread, table
 
@@ -62,3 +64,38 @@ _TRIES = " UNION ALL ".join(f"SELECT '{d}' AS outlet, {i} AS place, '{s}' AS sel
     count(*) FILTER (WHERE last IS NULL OR page_id > last) AS misses, count(*) FILTER (WHERE last IS NULL OR page_id > last) >= 3 AS degraded FROM l GROUP BY 1, 2""")
 def ht_selector_health(spark, d):
     return extraction.health(_articles(spark, d).select("page_id", "outlet", "tries"), "page_id")
+
+
+_ALIASES = [(i * 2 + j, alias, domain) for i, (name, domain) in enumerate(PUBLISHERS) for j, alias in enumerate((name, f"{name} news"))]
+_NAME = "CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN 'First News of today' WHEN 2 THEN ' the OTHER paper ' WHEN 3 THEN 'Desk ' || {h} WHEN 4 THEN {h} || ' desk' ELSE NULL END"
+
+
+@query(rf"""WITH p AS (SELECT page_id, {_HOST} AS h, url FROM pages), c AS (SELECT page_id, {_NAME.format(h='h')} AS name FROM p),
+  r AS (SELECT h AS canonical_name, 'Desk ' || h AS alias, min(page_id) % 2 = 0 AS is_active FROM p GROUP BY h),
+  k AS (SELECT * FROM (VALUES {", ".join(f"({p}, '{a}', '{d}')" for p, a, d in _ALIASES)}) v(place, alias, domain)),
+  n AS (SELECT page_id, name, trim(name) AS raw, lower(trim(name)) AS low FROM c),
+  f AS (SELECT *, CASE WHEN regexp_full_match({_HOST.replace("url", "low")}, '([a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?\.)+[a-z]{{2,}}') THEN {_HOST.replace("url", "low")} END AS domain,
+    (SELECT min_by(domain, place) FROM k WHERE k.alias = n.low) AS exact, (SELECT min_by(domain, place) FROM k WHERE starts_with(n.low, k.alias)) AS prefix,
+    (SELECT min_by(domain, place) FROM k WHERE contains(n.low, k.alias)) AS held, (SELECT min(canonical_name) FROM r WHERE canonical_name = n.low) AS registered,
+    (SELECT min(canonical_name) FROM r WHERE alias = n.raw AND is_active) AS also FROM n),
+  s AS (SELECT page_id, name, coalesce(domain, exact, prefix, held, registered, also) AS canonical, CASE WHEN domain IS NOT NULL THEN 'domain' WHEN exact IS NOT NULL THEN 'exact' WHEN prefix IS NOT NULL THEN 'prefix'
+    WHEN held IS NOT NULL THEN 'within' WHEN registered IS NOT NULL THEN 'registered' WHEN also IS NOT NULL THEN 'alias' END AS step FROM f),
+  m AS (SELECT s.*, CASE WHEN coalesce(trim(name), '') = '' THEN 'SOURCE_NOT_SUPPLIED' WHEN canonical IS NULL THEN 'SOURCE_UNRECOGNIZED' WHEN NOT coalesce(is_active, true) THEN 'SOURCE_INACTIVE' ELSE 'SOURCE_SELECTED' END AS reason
+    FROM s LEFT JOIN r ON r.canonical_name = s.canonical)
+  SELECT page_id, name, CASE WHEN reason = 'SOURCE_SELECTED' THEN canonical END AS canonical, CASE WHEN reason = 'SOURCE_SELECTED' THEN step END AS step,
+    CASE WHEN reason = 'SOURCE_SELECTED' THEN 'CLAIMED_SOURCE' ELSE 'VERIFIED_SOURCES' END AS mode, reason FROM m""")
+def jn_source_resolution(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url", urls.host(F.col("url")).alias("h"))
+    claims = pages.select("page_id", F.expr(_NAME.format(h="h")).alias("name"))
+    registry = pages.groupBy("h").agg((F.min("page_id") % 2 == 0).alias("is_active")).select(F.col("h").alias("canonical_name"), F.array(F.concat(F.lit("Desk "), F.col("h"))).alias("aliases"), "is_active")
+    aliases = spark.createDataFrame(_ALIASES, "place int, alias string, domain string")
+    return resolution.with_mode(resolution.resolved(claims, "name", aliases, registry), "name", registry)
+
+
+_OUTLET_SQL = ", ".join(f"({i}, '{d}')" for i, (d, *_) in enumerate(OUTLETS))
+
+
+@query(f"""SELECT page_id, (SELECT min_by(domain, place) FROM (VALUES {_OUTLET_SQL}) v(place, domain) WHERE h = domain OR ends_with(h, '.' || domain)) AS outlet FROM (SELECT page_id, {_HOST} AS h FROM pages)""")
+def jn_outlet_by_suffix(spark, d):
+    known = outlets(spark).withColumns({k: F.array().cast("array<string>") for k in extraction.KINDS})
+    return extraction.by_outlet(table(spark, d, "pages").select("page_id", "url"), extraction.compiled(known)).select("page_id", "outlet")
