@@ -72,6 +72,17 @@ def range_faults(ranges: DataFrame, low: str, high: str, first: float = 0.0, las
     return rows.select(F.col(high).alias("border"), F.explode(kinds).alias("fault"))
 
 
+def changed_ranges(ranges: DataFrame, key: str, upserts: DataFrame, deleted: list, low: str, high: str, first: float = 0.0, last: float = 100.0) -> tuple[DataFrame, DataFrame]:
+    """(ranges after the change, its faults): upserts by key and deletions count together, and only if the whole set then tiles
+    first to last; else the ranges stay as they are. Keys that are not there may be deleted; no change changes nothing."""
+    gone = ~F.col(key).isin(deleted) if deleted else F.lit(True)
+    new = ranges.join(upserts.select(key), key, "left_anti").where(gone).select(*ranges.columns).union(upserts.select(*ranges.columns))
+    faults = range_faults(new, low, high, first, last)
+    sound = faults.agg((F.count("*") == 0).alias("_sound"))  # one row
+    both = ranges.withColumn("_new", F.lit(False)).union(new.withColumn("_new", F.lit(True)))
+    return both.crossJoin(F.broadcast(sound)).where("_new = _sound").drop("_new", "_sound"), faults
+
+
 def vote_weight(decided: Column, tier_weight: Column, least_votes: int = 10, neutral: float = 1.0) -> Column:
     """A reviewer's weight: neutral until there are enough decided votes, then that of the tier."""
     return F.when(decided < least_votes, F.lit(neutral)).otherwise(F.coalesce(tier_weight, F.lit(neutral)))

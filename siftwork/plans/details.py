@@ -134,10 +134,10 @@ def ta_claim_scope(spark, d):
     return table(spark, d, "documents").select("doc_id", claim_scope(kind, F.col("text")).alias("scope"), extraction_outcome(error, F.left("text", F.lit(10))).alias("outcome"))
 
 
-@query("""SELECT l_orderkey, bool_or(l_returnflag = 'A') AS decided_by_admin, max_by(l_linestatus, CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END * 100000000 + l_partkey * 100 + l_linenumber) AS verdict FROM lineitem GROUP BY 1""")
+@query("""SELECT l_orderkey, bool_or(l_returnflag = 'A') AS decided_by_admin, max_by(l_linestatus, {'a': l_returnflag = 'A', 'p': l_partkey, 'n': l_linenumber}) AS verdict FROM lineitem GROUP BY 1""")
 def dm_admin_overrides(spark, d):
     admin = F.col("l_returnflag") == "A"
-    weight = F.when(admin, 1).otherwise(0) * 100000000 + F.col("l_partkey") * 100 + F.col("l_linenumber")
+    weight = F.struct(admin, "l_partkey", "l_linenumber")  # an admin's word outranks any other row
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.bool_or(admin).alias("decided_by_admin"), F.max_by("l_linestatus", weight).alias("verdict"))
 
 

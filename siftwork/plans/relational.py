@@ -242,11 +242,11 @@ def so_case_queue(spark, d):
     return table(spark, d, "events").select("event_id", "event_type", "ts").orderBy(*order).limit(3000).select("event_id", "event_type")
 
 
-@query("""WITH s AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_discount AS score, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_discount DESC, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber) AS place FROM lineitem)
+@query("""WITH s AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_discount AS score, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_discount DESC, l_orderkey, l_partkey, l_linenumber) AS place FROM lineitem)
   SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, score, place FROM s WHERE place = 1 OR place <= 5 AND score >= 0.05""")
 def so_topk_floor(spark, d):
     rows = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", F.col("l_discount").alias("score"))
-    rows = rows.withColumn("tie", F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 10 + F.col("l_linenumber"))
+    rows = rows.withColumn("tie", F.struct("l_orderkey", "l_partkey", "l_linenumber"))
     return ranking.top_with_floor(rows, "l_suppkey", "score", "tie").drop("tie").withColumn("place", F.col("place").cast("long"))
 
 
@@ -265,9 +265,35 @@ def wn_changes(spark, d):
     return ranking.changes(rows, "user_id", [F.col("ts"), F.col("event_id")], "event_type").drop("ts")
 
 
-@query("SELECT border, fault FROM (VALUES (40.0::DOUBLE, 'gap'), (80.0::DOUBLE, 'overlap'), (95.0::DOUBLE, 'end')) v(border, fault)")
+@query("""WITH t AS (SELECT p_size * 2.0::DOUBLE AS low, p_size * 2.0::DOUBLE + count(*) % 4 AS high FROM part GROUP BY p_size),
+  o AS (SELECT *, lead(low) OVER (ORDER BY low, high) AS next, row_number() OVER (ORDER BY low, high) = 1 AS opens FROM t)
+  SELECT high AS border, unnest(list_filter([CASE WHEN opens AND low <> 2 THEN 'start' END, CASE WHEN next IS NULL AND high <> 102 THEN 'end' END,
+    CASE WHEN next > high THEN 'gap' END, CASE WHEN next < high THEN 'overlap' END], lambda x: x IS NOT NULL)) AS fault FROM o""")
 def wn_tier_gaps(spark, d):
-    return votes.range_faults(spark.createDataFrame([(0.0, 40.0), (50.0, 80.0), (70.0, 95.0)], "low double, high double"), "low", "high")
+    tiers = table(spark, d, "part").groupBy("p_size").agg(F.count("*").alias("n")).select((F.col("p_size") * F.lit(2.0)).alias("low"), (F.col("p_size") * F.lit(2.0) + F.col("n") % 4).alias("high"))
+    return votes.range_faults(tiers, "low", "high", 2.0, 102.0)
+
+
+_SHARES = "SELECT l_suppkey, round(100.0::DOUBLE * count(*) FILTER (WHERE l_returnflag = 'R') / count(*), 6) AS share FROM lineitem GROUP BY 1"
+
+
+@query(f"""WITH t AS (SELECT r_regionkey AS tier, 20.0::DOUBLE * r_regionkey AS low, 20.0::DOUBLE * (r_regionkey + 1) AS high, 1.0::DOUBLE + r_regionkey AS weight FROM region),
+  good AS (SELECT tier, low, CASE WHEN tier = 1 THEN 50.0::DOUBLE WHEN tier = 2 THEN 60.0::DOUBLE ELSE high END AS high, CASE WHEN tier = 1 THEN 9.0::DOUBLE ELSE weight END AS weight FROM t WHERE tier <> 2
+    UNION ALL SELECT 7, 50.0::DOUBLE, 60.0::DOUBLE, 0.5::DOUBLE),
+  s AS ({_SHARES})
+  SELECT 'tiles' AS change, l_suppkey, (SELECT min_by(tier, low) FROM good WHERE share BETWEEN low AND high) AS tier FROM s
+  UNION ALL SELECT 'leaves a gap', l_suppkey, (SELECT min_by(tier, low) FROM t WHERE share BETWEEN low AND high) FROM s""")
+def dm_tiers(spark, d):
+    number = F.col("r_regionkey").cast("int")
+    tiers = table(spark, d, "region").select(number.alias("tier"), (number * F.lit(20.0)).alias("low"), ((number + 1) * F.lit(20.0)).alias("high"), (number + F.lit(1.0)).alias("weight"))
+    one_wider = spark.createDataFrame([(1, 20.0, 50.0, 9.0), (7, 50.0, 60.0, 0.5)], tiers.schema)
+    share = F.round(F.lit(100.0) * F.count_if(F.col("l_returnflag") == "R") / F.count("*"), 6)
+    shares = table(spark, d, "lineitem").groupBy("l_suppkey").agg(share.alias("share"))
+    out = []
+    for change, new, gone in (("tiles", one_wider, [2]), ("leaves a gap", one_wider.where("tier = 7"), [2])):
+        kept, _ = votes.changed_ranges(tiers, "tier", new, gone, "low", "high")
+        out.append(votes.first_range(shares, "share", kept, "low", "high").select(F.lit(change).alias("change"), "l_suppkey", "tier"))
+    return out[0].union(out[1])
 
 
 @query("SELECT event_id, strftime(ts + INTERVAL 6 HOUR, '%Y-%m-%d') AS local_day FROM events")
@@ -365,10 +391,13 @@ def dm_insert_absent(spark, d):
     return state.insert_absent(e.where("event_type = 'purchase'").select("user_id"), e.where("event_type = 'click'").select("user_id", "event_type"), ["user_id"])
 
 
-@query("SELECT 3 AS least_votes, 5.0::DOUBLE AS threshold")
+@query("""SELECT 'stored' AS kind, * FROM (SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 1)
+  UNION ALL SELECT 'default', coalesce(min(o_orderkey), 0), coalesce(min(o_orderpriority), '3-MEDIUM') FROM orders WHERE o_totalprice < 0""")
 def sc_settings(spark, d):
-    empty = spark.createDataFrame([], "least_votes int, threshold double")
-    return one(empty, F.lit(1), {"least_votes": 3, "threshold": 5.0})
+    orders, columns = table(spark, d, "orders"), ("o_orderkey", "o_orderpriority")
+    defaults = {"o_orderkey": 0, "o_orderpriority": "3-MEDIUM"}
+    oldest = lambda rows, kind: one(rows, F.struct("o_orderdate", "o_orderkey"), defaults).select(F.lit(kind).alias("kind"), *columns)
+    return oldest(orders, "stored").union(oldest(orders.where("o_totalprice < 0"), "default"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_totalprice IS NULL OR o_totalprice < 20000 THEN 'price' WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'priority' END AS error FROM orders""")

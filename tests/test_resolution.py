@@ -61,3 +61,16 @@ def test_percent_is_no_hundred(spark):
     rows = spark.createDataFrame([(1, "দাম ৫ শতাংশ বেড়েছে"), (2, "৫ শত জন"), (3, "২ হাজার টাকা"), (4, "5%")], "id int, claim string")
     got = {r["id"]: (r["value"], r["unit"]) for r in differences.quantities(rows, ["id"], "claim").collect()}
     assert got[1][0] == 5.0 and got[2][0] == 500.0 and got[3][0] == 2000.0 and got[4][0] == 5.0
+
+
+def test_tier_changes_count_as_a_whole(spark):
+    from siftwork.operators import votes
+
+    tiers = spark.createDataFrame([(1, 0.0, 50.0), (2, 50.0, 100.0)], "tier int, low double, high double")
+    row = lambda *t: spark.createDataFrame(list(t), tiers.schema)
+    kept, faults = votes.changed_ranges(tiers, "tier", row((2, 50.0, 80.0), (3, 80.0, 100.0)), [], "low", "high")
+    assert sorted(map(tuple, kept.collect())) == [(1, 0.0, 50.0), (2, 50.0, 80.0), (3, 80.0, 100.0)] and faults.isEmpty()
+    kept, faults = votes.changed_ranges(tiers, "tier", row((2, 60.0, 100.0)), [9], "low", "high")
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, tiers.collect())) and [tuple(f) for f in faults.collect()] == [(50.0, "gap")]
+    kept, _ = votes.changed_ranges(tiers, "tier", tiers.limit(0), [2], "low", "high")
+    assert kept.count() == 2
