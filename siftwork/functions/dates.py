@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siftwork.functions.text import normalize_digits
+from siftwork.functions.text import nfc, nfc_words, normalize_digits
 
 ZONE = "Asia/Dhaka"
 # Bengali month names in order of the year, and the forms in which dates are written.
@@ -44,6 +44,43 @@ def publication(raw: Column) -> Column:
     return F.when(date.isNotNull(), F.struct(date.alias("local_date"), at.alias("published_at"), at.isNotNull().alias("has_time"), (at.isNotNull() & (offset == "")).alias("tz_assumed")))
 
 
+# Names of the months as photo cards write them, and endings of day numbers.
+CARD_MONTHS = (
+    ("জানুয়ারি", "জানুয়ারী", "january", "jan"), ("ফেব্রুয়ারি", "ফেব্রুয়ারী", "ফেব্রুযারি", "february", "feb"), ("মার্চ", "march", "mar"),
+    ("এপ্রিল", "april", "apr"), ("মে", "may"), ("জুন", "june", "jun"), ("জুলাই", "july", "jul"), ("আগস্ট", "অগাস্ট", "আগষ্ট", "august", "aug"),
+    ("সেপ্টেম্বর", "september", "sept", "sep"), ("অক্টোবর", "october", "oct"), ("নভেম্বর", "november", "nov"), ("ডিসেম্বর", "december", "dec"),
+)
+DAY_ENDINGS = ("st", "nd", "rd", "th", "লা", "রা", "ঠা", "ই", "শে")
+
+
+def card_date(raw: Column) -> Column:
+    """The one date that a card's text holds, in whatever form; null if there is none, or more than one.
+
+    Day, month name and year; month name, day and year; year, month and day in figures; day, month and year in figures. What is
+    no day of the calendar doesn't count.
+    """
+    text = normalize_digits(nfc(raw))
+    numbers = {name: i for i, names in enumerate(CARD_MONTHS, 1) for name in nfc_words(names)}
+    month = "(" + "|".join(sorted(numbers, key=len, reverse=True)) + ")"
+    day, between = rf"(\d{{1,2}})(?:{'|'.join(nfc_words(DAY_ENDINGS))})?", r"[\s,.\-/]*"
+    known = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])
+    by_name = lambda m: F.try_element_at(known, F.lower(m)).cast("string")
+    forms = [
+        (rf"(?i)(?<!\d){day}{between}{month}\.?{between}(\d{{4}})(?!\d)", (3, 2, 1), by_name),
+        (rf"(?i){month}\.?{between}{day}{between}(\d{{4}})(?!\d)", (3, 1, 2), by_name),
+        (r"(?<!\d)(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)", (1, 2, 3), lambda m: m),
+        (r"(?<!\d)(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})(?!\d)", (3, 2, 1), lambda m: m),
+    ]
+
+    def days(pattern: str, groups: tuple[int, int, int], number) -> Column:
+        found = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(n) for g, n in zip(groups, "ymd")])
+        two = lambda c: F.lpad(c, 2, "0")
+        return F.transform(found, lambda z: F.to_date(F.try_to_timestamp(F.concat_ws("-", z["y"], two(number(z["m"])), two(z["d"])), F.lit("yyyy-MM-dd"))))
+
+    all_ = F.array_distinct(F.array_compact(F.concat(*[days(*f) for f in forms])))
+    return F.when(F.size(all_) == 1, all_[0])
+
+
 def on_days(stamp: Column, first: str | None, last: str | None) -> Column:
     """Whether a timestamp lies in whole days, both included."""
     out = F.lit(True)

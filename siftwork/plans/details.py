@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftwork.functions import identity, text, urls, vectors
-from siftwork.operators import decisions, ranking
+from siftwork.functions import dates, identity, text, urls, vectors
+from siftwork.operators import decisions, duplicates, ranking
 from siftwork.sources.tables import spread, table
 
 QUERIES, SQL = {}, {}
@@ -152,3 +152,23 @@ def tx_titles(spark, d):
 def tx_qualifiers(spark, d):
     rows = spread(table(spark, d, "documents")).select("doc_id", text.tokens(F.col("text")).alias("words"))
     return rows.select("doc_id", text.negated(F.col("words")).alias("negated"), F.array_join(text.qualifier_groups(F.col("words")), ",").alias("groups"), F.size(text.bigrams(F.col("words"))).alias("bigrams"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders")
+def dt_card_date(spark, d):
+    day = F.col("o_orderdate")
+    later = F.date_format(F.date_add(day.cast("date"), 1), "dd.MM.yyyy")
+    forms = [F.date_format(day, "d'th' MMMM, yyyy"), F.date_format(day, "MMM d yyyy"), F.date_format(day, "yyyy/M/d"), F.date_format(day, "dd-MM-yyyy"), F.concat(F.date_format(day, "dd.MM.yyyy"), F.lit(" or "), later)]
+    written = F.concat(F.lit("Printed "), F.element_at(F.array(*forms), (F.col("o_orderkey") % 5 + 1).cast("int")), F.lit(" in Dhaka"))
+    return table(spark, d, "orders").select("o_orderkey", dates.card_date(written).cast("string").alias("day"))
+
+
+_PART = "list_cosine_similarity(CAST(b.embedding[{0}] AS DOUBLE[]), CAST(a.embedding[{0}] AS DOUBLE[])) >= {1}"
+
+
+@query(f"""WITH e AS (SELECT vec_id, embedding, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings)
+  SELECT a.vec_id, max(b.vec_id) FILTER (WHERE {_PART.format("1:32", 0.2)} AND {_PART.format("33:64", 0.2)} AND {_PART.format("1:64", 0.3)}) AS match
+  FROM e a LEFT JOIN e b ON a.label = b.label AND b.n < a.n AND b.n >= a.n - 100 GROUP BY 1""")
+def dd_three_cosines(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 32).alias("text"), F.slice("embedding", 33, 32).alias("image"), F.col("embedding").alias("combined"))
+    return duplicates.near_by_all(rows, "label", [F.col("vec_id")], "vec_id", {"text": 0.2, "image": 0.2, "combined": 0.3}).select("vec_id", "match")
