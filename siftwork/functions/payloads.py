@@ -32,3 +32,26 @@ def answer_text(body: Column) -> Column:
 def catalogue(names: Column, between: str = "; ") -> Column:
     """Distinct names in the order given, without blanks."""
     return F.array_join(F.array_distinct(F.filter(F.transform(names, lambda n: F.trim(n)), lambda n: n != "")), between)
+
+
+def _quoted(text: Column) -> Column:
+    """A string as JSON."""
+    listed = F.to_json(F.array(text))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+
+def merged(body: Column, put: dict[str, Column], drop: tuple[str, ...] = (), skip_nulls: bool = False) -> Column:
+    """A JSON object with some keys put and some dropped, the others and their order as they were; values keep their JSON types.
+
+    put: key to JSON text (to_json() of a struct, "12", '"x"'). A key that is there keeps its place, new ones follow in order;
+    null is JSON's null, or, with skip_nulls, no change. What is no object, null included, counts as an empty one.
+    """
+    fields = F.try_parse_json(body).try_cast("map<string,variant>")
+    old = F.when(fields.isNotNull(), F.json_object_keys(body))
+    old = F.array_distinct(F.coalesce(old, F.array().cast("array<string>")))
+    new = F.create_map(*[x for k, v in put.items() for x in (F.lit(k), F.coalesce(v, F.lit(None if skip_nulls else "null")))]) if put else F.create_map().cast("map<string,string>")
+    changed = F.map_filter(new, lambda k, v: v.isNotNull())
+    kept = F.filter(old, lambda k: ~k.isin(*drop)) if drop else old
+    value = lambda k: F.coalesce(F.try_element_at(changed, k), F.to_json(F.try_element_at(fields, k)), F.lit("null"))
+    keys = F.array_union(kept, F.map_keys(changed))
+    return F.concat(F.lit("{"), F.array_join(F.transform(keys, lambda k: F.concat(_quoted(k), F.lit(":"), value(k))), ","), F.lit("}"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftwork.functions import dates, identity, text, urls, vectors
+from siftwork.functions import dates, identity, payloads, text, urls, vectors
 from siftwork.operators import decisions, duplicates, ranking
 from siftwork.sources.tables import spread, table
 
@@ -172,3 +172,13 @@ _PART = "list_cosine_similarity(CAST(b.embedding[{0}] AS DOUBLE[]), CAST(a.embed
 def dd_three_cosines(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 32).alias("text"), F.slice("embedding", 33, 32).alias("image"), F.col("embedding").alias("combined"))
     return duplicates.near_by_all(rows, "label", [F.col("vec_id")], "vec_id", {"text": 0.2, "image": 0.2, "combined": 0.3}).select("vec_id", "match")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, event_type, props, json_object('user', user_id, 'value', CAST(floor(value) AS BIGINT)) AS place FROM events)
+  SELECT event_id, CAST(CASE event_id % 3 WHEN 0 THEN json_object('k', user_id, 'kind', event_type, 'at', place) WHEN 1 THEN json_object('kind', event_type, 'at', place)
+    ELSE json_merge_patch(props, json_object('kind', event_type, 'at', place)) END AS VARCHAR) AS props FROM e""")
+def js_merge(spark, d):
+    at = F.to_json(F.struct(F.col("user_id").alias("user"), F.floor("value").alias("value")))
+    first = payloads.merged(F.col("props"), {"kind": F.to_json(F.struct(F.col("event_type").alias("x"))).substr(F.lit(6), F.length("event_type") + 2), "at": at})
+    changed = F.when(F.col("event_id") % 3 == 0, payloads.merged(F.col("first"), {"k": F.col("user_id").cast("string")})).when(F.col("event_id") % 3 == 1, payloads.merged(F.col("first"), {}, drop=("k",))).otherwise(F.col("first"))
+    return table(spark, d, "events").withColumn("first", first).select("event_id", changed.alias("props"))
