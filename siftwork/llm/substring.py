@@ -192,18 +192,30 @@ def _lists(values: np.ndarray, sizes: np.ndarray, given: np.ndarray) -> pa.Array
     return pa.ListArray.from_buffers(pa.list_(pa.int64()), len(sizes), [valid, pa.py_buffer(offsets)], children=[pa.array(values[np.repeat(given, sizes)].view(np.int64))])
 
 
+#: Windows of stretches that a task holds at a time.
+FOUND = 1 << 20
+
+
 def stretches(docs: DataFrame, seen, bits: int, window: int, run: int) -> DataFrame:
     """(key, content, doc_id, start, n, windows) of the windows that seen marks, in stretches.
 
     A stretch is n windows of a document behind each other that share an anchor, the key; content is a hash of them all,
-    and windows one of each. A stretch that isn't the first of its content in a batch has no windows; its key is of no use but to
-    spread such rows.
+    and windows one of each. A stretch that isn't the first of its content among FOUND windows has no windows; its key is of no
+    use but to spread such rows.
     """
 
+    def rows_of(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        a, c, d, s, n, w = (np.concatenate(x) for x in zip(*found))
+        order, new = _first_of(a, c, d, s)
+        given = np.zeros(len(a), bool)
+        given[order[new]] = True
+        key = np.where(given, a, mixed(d.astype(np.uint64) + c))
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), _lists(w, n, given)], ["key", "content", "doc_id", "start", "n", "windows"])
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            found, ids = [], batch.column("doc_id").to_numpy()
+            found, size, ids = [], 0, batch.column("doc_id").to_numpy()
             for rows, froms, words, ends in together(batch, hashes, window):
                 runs, content = spans(words, run, window)
                 start, part = inside(ends, len(content), window)
@@ -225,13 +237,12 @@ def stretches(docs: DataFrame, seen, bits: int, window: int, run: int) -> DataFr
                 owner = part[begins]
                 place = start[begins] - np.concatenate(([0], ends))[owner] + froms[owner]
                 found.append((runs[at[begins]], whole, ids[rows[owner]], place, sizes, content))
+                size += len(content)
+                if size > FOUND:
+                    yield rows_of(found)
+                    found, size = [], 0
             if found:
-                a, c, d, s, n, w = (np.concatenate(x) for x in zip(*found))
-                order, new = _first_of(a, c, d, s)
-                given = np.zeros(len(a), bool)
-                given[order[new]] = True
-                key = np.where(given, a, mixed(d.astype(np.uint64) + c))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), _lists(w, n, given)], ["key", "content", "doc_id", "start", "n", "windows"])
+                yield rows_of(found)
 
     return docs.mapInArrow(find, "key long, content long, doc_id long, start int, n int, windows array<long>")
 
