@@ -182,3 +182,20 @@ def js_merge(spark, d):
     first = payloads.merged(F.col("props"), {"kind": F.to_json(F.struct(F.col("event_type").alias("x"))).substr(F.lit(6), F.length("event_type") + 2), "at": at})
     changed = F.when(F.col("event_id") % 3 == 0, payloads.merged(F.col("first"), {"k": F.col("user_id").cast("string")})).when(F.col("event_id") % 3 == 1, payloads.merged(F.col("first"), {}, drop=("k",))).otherwise(F.col("first"))
     return table(spark, d, "events").withColumn("first", first).select("event_id", changed.alias("props"))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS id, CASE WHEN l_orderkey % 3 = 0 THEN l_orderkey - 1 END AS reused, CASE WHEN l_orderkey % 3 <> 0 AND l_orderkey % 7 <> 1 THEN min(l_returnflag) END AS verdict
+    FROM lineitem GROUP BY l_orderkey),
+  m AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_custkey - 1 END AS copy_of, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS verdict FROM customer)
+  SELECT o_orderkey, coalesce(r2.verdict, r1.verdict, m2.verdict, m1.verdict) AS verdict, r1.id IS NOT NULL AS structured, r2.id IS NOT NULL AS reused, m2.id IS NOT NULL AS copied FROM orders
+  LEFT JOIN r r1 ON r1.id = o_orderkey LEFT JOIN r r2 ON r2.id = r1.reused LEFT JOIN m m1 ON m1.id = o_custkey LEFT JOIN m m2 ON m2.id = m1.copy_of""")
+def jn_four_way(spark, d):
+    """A claim with its result, the result that was reused, its image analysis, and the one that is a copy of."""
+    key = F.col("l_orderkey")
+    results = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_returnflag").alias("flag"))
+    results = results.select(key.alias("id"), F.when(key % 3 == 0, key - 1).alias("reused"), F.when((key % 3 != 0) & (key % 7 != 1), F.col("flag")).alias("verdict"))
+    images = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey") - 1).alias("copy_of"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("verdict"))
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey").alias("o").join(results.alias("r1"), F.col("r1.id") == F.col("o.o_orderkey"), "left").join(results.alias("r2"), F.col("r2.id") == F.col("r1.reused"), "left")
+    rows = rows.join(images.alias("m1"), F.col("m1.id") == F.col("o.o_custkey"), "left").join(images.alias("m2"), F.col("m2.id") == F.col("m1.copy_of"), "left")
+    known = [F.col(f"{t}.id").isNotNull().alias(n) for t, n in (("r1", "structured"), ("r2", "reused"), ("m2", "copied"))]
+    return rows.select("o_orderkey", F.coalesce("r2.verdict", "r1.verdict", "m2.verdict", "m1.verdict").alias("verdict"), *known)
