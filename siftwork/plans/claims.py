@@ -8,6 +8,7 @@ from siftwork.functions import identity, payloads, text
 from siftwork.operators import entities, labels, records, search, similarity, state
 from siftwork.plans.texts import _PAIRS, _TOKENS, pairs
 from siftwork.sources import html
+from siftwork.sources.staged import staged
 from siftwork.sources.tables import spread, table
 
 QUERIES, SQL = {}, {}
@@ -447,7 +448,8 @@ def ta_entities(spark, d):
   FROM (SELECT item_id, doc_id, a, b, len(list_intersect(list_distinct(a), list_distinct(b)))::DOUBLE / len(list_distinct(a)) AS held FROM {_PAIRS})
   WHERE len(list_filter(a, lambda t: t IN ('not', 'no', 'never'))) % 2 = len(list_filter(b, lambda t: t IN ('not', 'no', 'never'))) % 2""")
 def ud_models(spark, d):
-    rows = pairs(spark, d).where(text.negated(F.col("a")) == text.negated(F.col("b")))
+    # Staged: the test would else become a key of the join of items and documents, worked out from the texts again and again.
+    rows = staged(pairs(spark, d).select("item_id", "doc_id", "a", "b"), "pairs").where(text.negated(F.col("a")) == text.negated(F.col("b")))
     rows = rows.select("item_id", "doc_id", similarity.entailment(F.col("b"), F.col("a")).alias("n"), similarity.rerank_score(F.col("a"), F.col("b")).alias("rerank"))
     return rows.select("item_id", "doc_id", F.round("n.entailment", 6).alias("entailment"), F.round("n.contradiction", 6).alias("contradiction"), F.round("rerank", 6).alias("rerank"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siftwork.functions import identity, text, urls
 from siftwork.operators import decisions, duplicates, ranking, search, similarity
 from siftwork.sources import html
+from siftwork.sources.staged import staged
 from siftwork.sources.tables import spread, table
 
 QUERIES, SQL = {}, {}
@@ -110,7 +111,8 @@ def pairs(spark, d):
     items, docs = table(spark, d, "benchmark").select("item_id", F.col("text").alias("claim")), spread(table(spark, d, "documents").select("doc_id", F.col("text").alias("source")))
     words = lambda rows, key, column: rows.select(key, text.tokens(F.col(column)).alias("words"))
     linked = similarity.sharing_runs(words(items, "item_id", "claim"), words(docs, "doc_id", "source"), "item_id", "doc_id")
-    rows = linked.join(items, "item_id").join(docs, "doc_id")
+    # As files their size is known, so that documents are not shuffled for a few pairs.
+    rows = staged(linked, "linked").join(items, "item_id").join(docs, "doc_id")
     return rows.select("item_id", "doc_id", "claim", "source", text.tokens(F.col("claim")).alias("a"), text.tokens(F.col("source")).alias("b"))
 
 
