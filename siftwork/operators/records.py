@@ -70,6 +70,13 @@ def relevant_first(rows: DataFrame, relevance: str, position: str) -> list[Colum
     return [F.col(relevance).isNull(), F.desc(relevance), F.col(position)]
 
 
+def left_join_known(rows: DataFrame, other: DataFrame, key: str, spread: str) -> DataFrame:
+    """rows.join(other, key, "left") for an integer key that may be null: rows without one, which would all meet in one task, are dealt by spread."""
+    apart = F.when(F.col(key).isNull(), F.xxhash64(spread)).otherwise(F.lit(0).cast("long"))
+    same = F.pmod(F.col(key), F.lit(1)).cast("long")  # 0, but not a constant, which would not be a key of the join
+    return rows.withColumn("_apart", apart).join(other.withColumn("_apart", same), [key, "_apart"], "left").drop("_apart")
+
+
 def result_view(results: DataFrame, originals: DataFrame, evidence: DataFrame, key: str, most: int = 5) -> DataFrame:
     """A row per result with its effective verdict (the original's for a copy) and its evidence, ranked, as one array.
 
@@ -79,7 +86,7 @@ def result_view(results: DataFrame, originals: DataFrame, evidence: DataFrame, k
     ranked = evidence.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(rank)), 1, most).alias("_e"))
     ranked = ranked.select(key, F.transform("_e", lambda e: e["url"]).alias("evidence"))
     theirs = originals.select(F.col(key).alias("duplicate_of"), F.col("verdict").alias("_theirs"))
-    rows = results.join(theirs, "duplicate_of", "left").join(ranked, key, "left")
+    rows = left_join_known(results, theirs, "duplicate_of", key).join(ranked, key, "left")
     return rows.withColumns({"verdict": F.coalesce("_theirs", "verdict"), "evidence": F.coalesce("evidence", F.array().cast("array<string>"))}).drop("_theirs")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftwork.functions import dates, identity, payloads, text, urls, vectors
-from siftwork.operators import decisions, duplicates, ranking
+from siftwork.operators import decisions, duplicates, ranking, records
 from siftwork.sources.tables import spread, table
 
 QUERIES, SQL = {}, {}
@@ -195,7 +195,9 @@ def jn_four_way(spark, d):
     results = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_returnflag").alias("flag"))
     results = results.select(key.alias("id"), F.when(key % 3 == 0, key - 1).alias("reused"), F.when((key % 3 != 0) & (key % 7 != 1), F.col("flag")).alias("verdict"))
     images = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey") - 1).alias("copy_of"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("verdict"))
-    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey").alias("o").join(results.alias("r1"), F.col("r1.id") == F.col("o.o_orderkey"), "left").join(results.alias("r2"), F.col("r2.id") == F.col("r1.reused"), "left")
-    rows = rows.join(images.alias("m1"), F.col("m1.id") == F.col("o.o_custkey"), "left").join(images.alias("m2"), F.col("m2.id") == F.col("m1.copy_of"), "left")
-    known = [F.col(f"{t}.id").isNotNull().alias(n) for t, n in (("r1", "structured"), ("r2", "reused"), ("m2", "copied"))]
-    return rows.select("o_orderkey", F.coalesce("r2.verdict", "r1.verdict", "m2.verdict", "m1.verdict").alias("verdict"), *known)
+    named = lambda rows, key, n, *more: rows.select(F.col("id").alias(key), F.col("id").alias(n), *more, F.col("verdict").alias(f"{n}_verdict"))
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(named(results, "o_orderkey", "r1", "reused"), "o_orderkey", "left")
+    rows = records.left_join_known(rows, named(results, "reused", "r2"), "reused", "o_orderkey").join(named(images, "o_custkey", "m1", "copy_of"), "o_custkey", "left")
+    rows = records.left_join_known(rows, named(images, "copy_of", "m2"), "copy_of", "o_orderkey")
+    known = [F.col(t).isNotNull().alias(n) for t, n in (("r1", "structured"), ("r2", "reused"), ("m2", "copied"))]
+    return rows.select("o_orderkey", F.coalesce("r2_verdict", "r1_verdict", "m2_verdict", "m1_verdict").alias("verdict"), *known)
