@@ -53,7 +53,7 @@ def sources(spark, d):
 def pf_user_state(spark, d):
     rows = claims(spark, d)
     theirs = rows.select(F.col("id").alias("duplicate_of"), F.col("status").alias("theirs"))
-    joined = rows.select("id", "status", "duplicate_of").join(theirs, "duplicate_of", "left")
+    joined = records.left_join_known(rows.select("id", "status", "duplicate_of"), theirs, "duplicate_of", "id")
     return joined.select("id", records.user_state(F.col("status"), F.col("duplicate_of").isNotNull(), F.col("theirs")).alias("state"))
 
 
