@@ -1,8 +1,11 @@
 """Steps that must not gather rows: left joins on keys that may be null."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from siftwork.functions import text
 from siftwork.operators import records
 from siftwork.plans import claims, details
 
@@ -36,3 +39,12 @@ def test_left_join_known_is_a_left_join(spark):
     other = spark.createDataFrame([(-4, "a"), (2, "b"), (2, "c"), (5, "d"), (None, "e")], "key long, v string")
     got = records.left_join_known(rows, other, "key", "id")
     assert got.columns == ["key", "id", "v"] and sorted(got.collect(), key=repr) == sorted(rows.join(other, "key", "left").collect(), key=repr)
+
+
+def test_terms_are_counted_without_rows_of_terms(spark):
+    """Terms are no key of a shuffle; rows of one key count together; equal counts in order of their first place."""
+    rows = [(1, ["b", "a", "b", "c"]), (1, ["a", "d", "a"]), (2, ["x"]), (3, []), (4, None), (None, ["n", "m"])]
+    out = text.top_terms(spark.createDataFrame(rows, "doc_id long, words array<string>"), "doc_id", "words", 3)
+    got = sorted((r.doc_id or 0, r.place, r.term) for r in out.collect())
+    assert got == [(0, 1, "n"), (0, 2, "m"), (1, 1, "a"), (1, 2, "b"), (1, 3, "d"), (2, 1, "x")]
+    assert not re.search(r"hashpartitioning\([^)]*term", out._jdf.queryExecution().executedPlan().toString())
