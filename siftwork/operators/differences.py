@@ -1,7 +1,9 @@
 """Material differences between claims and what their sources say, as joins within each pair.
 
 Both sides are annotated once: amounts, clauses, names and roles become rows of their pair, and each kind of difference is what a
-join of both sides leaves over. A pair is never held in one row beyond its own texts.
+join of both sides leaves over. A pair is never held in one row beyond its own texts. Pairs are dealt out by their keys first, and
+sides of pairs are always merged: rows of words and stems are far larger than the compressed files by which Spark would choose a
+broadcast.
 """
 
 from __future__ import annotations
@@ -116,7 +118,7 @@ def number_differences(pairs: DataFrame, keys: list[str]) -> DataFrame:
     money = F.col("unit").isin(nfc_words(CURRENCIES)) & F.col("s_unit").isin(nfc_words(CURRENCIES))
     open_or_equal = lambda c: (F.col(c) == "") | (F.col(f"s_{c}") == "") | (F.col(c) == F.col(f"s_{c}"))
     fits = open_or_equal("role") & (open_or_equal("unit") | money)
-    both = mine.join(theirs, keys, "left").groupBy(*keys, "at", "value").agg(F.coalesce(F.bool_or(same & fits), F.lit(False)).alias("stated"))
+    both = mine.join(theirs.hint("merge"), keys, "left").groupBy(*keys, "at", "value").agg(F.coalesce(F.bool_or(same & fits), F.lit(False)).alias("stated"))
     return _found(both.where("not stated"), keys, "numbers", F.col("value").cast("string"))
 
 
@@ -136,7 +138,7 @@ def clause_differences(pairs: DataFrame, keys: list[str]) -> DataFrame:
     mine = _clauses(pairs, keys, "claim", "i").withColumn("content", plain)
     mine = mine.withColumn("stems", stem_list(F.col("content"))).withColumn("units", similarity.units(F.col("content"), F.col("stems"))).where(F.size("units") >= 2)
     theirs = _clauses(pairs, keys, "source", "j").select(*keys, "j", F.col("words").alias("s_words"), similarity.evidence_keys(F.col("words")).alias("s_keys"))
-    joined = mine.join(theirs, keys).select(*keys, "i", "j", "words", "s_words", similarity.coverage(F.col("units"), F.col("s_keys")).alias("share")).where(F.col("share") >= ALIGNED)
+    joined = mine.join(theirs.hint("merge"), keys).select(*keys, "i", "j", "words", "s_words", similarity.coverage(F.col("units"), F.col("s_keys")).alias("share")).where(F.col("share") >= ALIGNED)
     said = joined.select(*keys, "i", "words", "share", F.struct("j", F.col("s_words").alias("words"), negated(F.col("s_words")).alias("negated"), modality(F.col("s_words")).alias("modality")).alias("s"))
     best = said.groupBy(*keys, "i", "words").agg(F.max("share").alias("best"), F.collect_list(F.struct("share", "s")).alias("all"))  # the clauses of one source
     tops = F.transform(F.filter("all", lambda x: x["share"] >= F.col("best") - 1e-9), lambda x: x["s"])
@@ -169,7 +171,7 @@ def role_differences(pairs: DataFrame, keys: list[str]) -> DataFrame:
         each = each.select(*keys, "at", is_object.alias("is_object"), F.array(bare).alias("bare"))
         return each.withColumn("stem", stem_list(F.col("bare"))[0]).groupBy(*keys, "stem").agg(F.min_by("is_object", "at").alias(role))
 
-    turned = roles("claim", "a").join(roles("source", "b"), [*keys, "stem"]).where("a <> b").groupBy(*keys).agg(F.bool_or("a").alias("to_object"), F.bool_or("b").alias("to_subject"))
+    turned = roles("claim", "a").join(roles("source", "b").hint("merge"), [*keys, "stem"]).where("a <> b").groupBy(*keys).agg(F.bool_or("a").alias("to_object"), F.bool_or("b").alias("to_subject"))
     return _found(turned.where("to_object and to_subject"), keys, "subject_object", F.lit("roles exchanged"))
 
 
@@ -197,7 +199,7 @@ def entity_differences(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 def material(pairs: DataFrame, keys: list[str], claim: str = "claim", source: str = "source", names: bool = False) -> DataFrame:
     """(keys, kind, detail) of the ways in which a claim differs from its source in substance; names of entities only if asked for."""
-    rows = pairs.select(*keys, nfc(F.coalesce(F.col(claim), F.lit(""))).alias("claim"), nfc(F.coalesce(F.col(source), F.lit(""))).alias("source"))
+    rows = pairs.select(*keys, nfc(F.coalesce(F.col(claim), F.lit(""))).alias("claim"), nfc(F.coalesce(F.col(source), F.lit(""))).alias("source")).repartition(*[F.col(k) for k in keys])
     out = number_differences(rows, keys).union(clause_differences(rows, keys)).union(role_differences(rows, keys)).union(text_differences(rows, keys))
     return (out.union(entity_differences(rows, keys)) if names else out).distinct()
 

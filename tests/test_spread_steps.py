@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwork.functions import text
-from siftwork.operators import records
+from siftwork.operators import differences, records
 from siftwork.plans import claims, details
 
 PLAIN = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
@@ -48,3 +48,14 @@ def test_terms_are_counted_without_rows_of_terms(spark):
     got = sorted((r.doc_id or 0, r.place, r.term) for r in out.collect())
     assert got == [(0, 1, "n"), (0, 2, "m"), (1, 1, "a"), (1, 2, "b"), (1, 3, "d"), (2, 1, "x")]
     assert not re.search(r"hashpartitioning\([^)]*term", out._jdf.queryExecution().executedPlan().toString())
+
+
+def test_sides_of_pairs_are_not_broadcast(spark, tmp_path):
+    """Small files may hold many words: their rows go to no driver."""
+    texts = ("5 dead in bus crash; mayor did not resign today", "7 dead in bus crash; mayor did resign today")
+    spark.createDataFrame([(i, j, *texts) for i in range(3) for j in range(3)], "item_id long, doc_id long, claim string, source string").write.parquet(f"{tmp_path}/pairs")
+    out = differences.material(spark.read.parquet(f"{tmp_path}/pairs"), ["item_id", "doc_id"], names=True)
+    got = {(r.item_id, r.doc_id, r.kind, r.detail) for r in out.collect()}
+    assert got == {(i, j, *x) for i in range(3) for j in range(3) for x in (("numbers", "5.0"), ("negation", "claim negates"))}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
