@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from siftwork.functions.text import collapse
 
 #: Elements further down are taken as children at this depth, as browsers do.
 DEEPEST = 512
+#: Trees are made of so many pages at a time, and of so many bytes of them unless one alone has more.
+PAGES, PAGES_BYTES = 64, 1 << 20
 # Fixed values of HTML: elements without content, start tags that end an open paragraph, and which open elements a start
 # tag ends, up to which others.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -128,16 +131,29 @@ _KINDS = [
 ]
 
 
+def portions(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """A batch in portions of PAGES rows and PAGES_BYTES of a column at most, one row at least; copied, so that none keeps the batch."""
+    rows, held = [], 0
+    for at, size in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        if rows and (len(rows) == PAGES or held + (size or 0) > PAGES_BYTES):
+            yield batch.take(pa.array(rows))
+            rows, held = [], 0
+        rows.append(at)
+        held += size or 0
+    if rows:
+        yield batch.take(pa.array(rows))
+
+
 def tree(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages with elements and texts, parsed from html; null and empty pages have none of either."""
     names = pages.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
+            for some in portions(batch, html):
                 both = [parsed(h) for h in some.column(html).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*some.columns, *(pa.array([b[i] for b in both], _KINDS[i]) for i in (0, 1))], [*names, "elements", "texts"])
+            del batch  # before the next one is read
 
     return pages.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in pages.dtypes), f"elements array<{ELEMENT}>", f"texts array<{TEXT}>"]))
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from siftwork.functions import dates, urls
 from siftwork.functions.text import clean_extracted, clean_title, once
 from siftwork.sources import elements as el
+from siftwork.sources.staged import staged
 
 LEAST_BODY, LEAST_TITLE, LEAST_PART, LEAST_PARAGRAPH = 100, 6, 11, 41
 DEGRADED, SKIPPED = 3, 6
@@ -226,8 +227,10 @@ def health(rows: DataFrame, order: str) -> DataFrame:
     """Of articles() rows, per outlet and body selector: asked, hits, none, short, misses (since the last hit, by order), degraded.
 
     A selector is asked where those before it gave too little. Outlets may be of any size: rows are counted before the shuffle.
+    Tries are staged, as they are counted twice: pages are parsed once.
     """
     tried = rows.where("outlet IS NOT NULL").select("outlet", F.col(order).alias("_at"), F.explode("tries").alias("t")).select("outlet", "_at", "t.*")
+    tried = staged(tried, "tries")
     keys = ["outlet", "selector"]
     counts = tried.groupBy(*keys).agg(F.count("*").alias("asked"), *[F.count_if(F.col("outcome") == o).alias(o) for o in ("hit", "none", "short")], F.max(F.when(F.col("outcome") == "hit", F.col("_at"))).alias("_last"))
     late = tried.join(counts.select(*keys, "_last"), keys).where("_last IS NULL OR _at > _last").groupBy(*keys).agg(F.count("*").alias("misses"))

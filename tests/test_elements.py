@@ -3,6 +3,7 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,3 +256,30 @@ def test_health(spark, outlets):
     }
     left = {r["domain"]: r["body_selectors"] for r in ex.usable(outlets, report).collect()}
     assert left == {"paper.example": ["div.story", "div.body p", "!"], "deep.paper.example": [], "none.example": None}
+
+
+def test_health_parses_pages_once(spark, outlets, monkeypatch):
+    seen, tree = spark.sparkContext.accumulator(0), el.tree
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(i, "https://paper.example", f"<div class=story>{LONG}</div>") for i in range(12)], "i long, url string, html string")
+    monkeypatch.setattr(el, "tree", lambda pages, html: (t := tree(pages, html)).mapInArrow(counted, t.schema))
+    report = ex.health(ex.articles(rows, outlets), "i")
+    assert [tuple(r)[:4] for r in report.collect()] == [("paper.example", "div.story", 12, 12)]
+    assert seen.value == 12
+
+
+def test_portions(monkeypatch):
+    monkeypatch.setattr(el, "PAGES_BYTES", 100)
+    html = ["x" * n for n in (40, 60, 1, 500, 0)] + [None] + ["y"] * 150
+    batch = pa.record_batch({"i": list(range(len(html))), "html": html, "m": [[{"a": str(i)}] for i in range(len(html))]})
+    parts = list(el.portions(batch, "html"))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert [p.num_rows for p in parts[:3]] == [2, 1, 1] and max(p.num_rows for p in parts) == el.PAGES
+    assert all(p.num_rows == 1 or sum(len(h or "") for h in p.column("html").to_pylist()) <= 100 for p in parts)
+    assert max(p.get_total_buffer_size() for p in parts[:2]) < batch.get_total_buffer_size() / 4  # copies
+    assert list(el.portions(batch.slice(0, 0), "html")) == []
