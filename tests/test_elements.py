@@ -258,6 +258,13 @@ def test_health(spark, outlets):
     assert left == {"paper.example": ["div.story", "div.body p", "!"], "deep.paper.example": [], "none.example": None}
 
 
+def test_health_counts_an_entity_as_one_character(spark, outlets):
+    body = lambda n: f"<div class=story>say &quot;{'a' * (n - 5)}</div>"
+    rows = spark.createDataFrame([(i, "https://paper.example", body(n)) for i, n in enumerate((ex.LEAST_BODY - 1, ex.LEAST_BODY))], "i long, url string, html string")
+    report = ex.health(ex.articles(rows, outlets), "i")
+    assert {(r["hits"], r["none"], r["short"]) for r in report.where("selector = 'div.story'").collect()} == {(1, 0, 1)}
+
+
 def test_health_parses_pages_once(spark, outlets, monkeypatch):
     seen, tree = spark.sparkContext.accumulator(0), el.tree
 
