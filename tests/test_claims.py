@@ -31,6 +31,12 @@ def test_entity_matches(spark):
     assert status("by Rahim", "then rahim spoke") == {"Rahim": "text"} and status("by Rahim", "then Karim spoke") == {"Rahim": "unmatched"}
 
 
+def test_entity_aliases_come_before_longer_names(spark):
+    found = lambda claim, source: [m["status"] for m in value(spark, entities.matches(F.lit(claim), F.lit(source)))]
+    assert found("fire in Dhaka", "so dhaka burns") == ["alias"]  # a form of the thing in the text, the claimed one too
+    assert found("see Un", "UN DE LA") == ["alias"] and found("see Une", "UNE DE LA") == ["ambiguous"]
+
+
 def test_units_of_one_stem(spark):
     words = F.array(*map(F.lit, ("ঢাকা", "ঢাকার", "5", "not")))
     rows = spark.range(1).select(words.alias("w")).withColumn("s", text.stem_list(F.col("w")))
